@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import bpe, decontamination, exact_dedup, line_dedup, near_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_toxicity": toxicity.query}
+    return {
+        "op1_minhash_near_dedup": near_dedup.query,
+        "op2_bpe": bpe.query,
+        "op4_exact_dedup": exact_dedup.query,
+        "op6_toxicity": toxicity.query,
+        "op8_decontamination": decontamination.query,
+        "op10_line_dedup": line_dedup.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by query, where SQL can express one on whole tables in reasonable time."""
+    return {"op1_minhash_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL}
