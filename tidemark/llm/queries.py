@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, line_dedup, near_dedup, toxicity
+from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.query,
         "op4_exact_dedup": exact_dedup.query,
         "op6_toxicity": toxicity.query,
+        "op7_license_scan": license_scan.query,
         "op8_decontamination": decontamination.query,
         "op10_line_dedup": line_dedup.query,
     }
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query, where SQL can express one on whole tables in reasonable time."""
-    return {"op1_minhash_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_minhash_near_dedup": near_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license_scan.sql()}
