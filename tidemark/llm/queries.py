@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, toxicity
+from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": near_dedup.query,
         "op2_bpe": bpe.query,
+        "op3_sharding": sharding.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_warc": warc.query,
         "op6_toxicity": toxicity.query,
         "op7_license_scan": license_scan.query,
         "op8_decontamination": decontamination.query,
