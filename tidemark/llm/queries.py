@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, sharding, toxicity, warc
+from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, sharding, substring_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.query,
         "op7_license_scan": license_scan.query,
         "op8_decontamination": decontamination.query,
+        "op9_substring_dedup": substring_dedup.query,
         "op10_line_dedup": line_dedup.query,
     }
 
