@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, fresh, mix, pieces, powers
+from .common import fresh, mix, pieces, powers
 
 #: Characters in a gram, edits as a share of an item's length, and bytes of benchmark text searched for in one pass.
 Q, RATE, PASS_BYTES = 8, 0.1, 16 << 20
@@ -30,31 +30,46 @@ for _i in range(_TOP):
             _lower[_i] = ord(_l)
 
 
+#: The normalised character of each, 32 for those that separate words.
+_NORMAL = np.where(_solid, _lower, 32).astype(np.uint32)
+
+
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The normalised characters of a text as code points, and where each stands in it."""
     a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    low = np.minimum(a, _TOP - 1)
-    solid = np.where(a < _TOP, _solid[low], True)
-    out = np.where(a < _TOP, _lower[low], a)
+    out = np.where(a < _TOP, _NORMAL[np.minimum(a, _TOP - 1)], a) if len(a) and a.max() >= _TOP else _NORMAL[a]
+    solid = out != 32
     keep = solid.copy()
     keep[1:] |= solid[:-1]
     at = np.flatnonzero(keep)
-    out = np.where(solid, out, 32)[at]
+    out = out[at]
     if len(out) and out[-1] == 32:
         out, at = out[:-1], at[:-1]
     return out, at
 
 
-def hashes(a: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hashes of all q-grams of an array of code points."""
-    n = len(a) - q + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def quick(a: np.ndarray, q: int = Q) -> np.ndarray:
+    """32-bit hashes of all q-grams of an array of code points, cheap to make, to look up which may be shared."""
+    x, size = a.astype(np.uint32, copy=False), 1
+    h = x
+    while size * 2 <= q:
+        h = h[:-size] * np.uint32(pow(_FACTOR, size, 1 << 32)) + h[size:]
+        size *= 2
+    while size < q:
+        h = h[:-1] * np.uint32(_FACTOR) + x[size : size + len(h) - 1]
+        size += 1
+    return h * np.uint32(0x9E3779B1)
+
+
+_FACTOR = 0x2C1B3C6D
+
+
+def hashes(a: np.ndarray, at: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of the q-grams of an array of code points at some places."""
     up, _ = powers(0x9E3779B97F4A7C15, 64)
-    h = np.zeros(n, np.uint64)
-    x = a.astype(np.uint64)
+    h = np.zeros(len(at), np.uint64)
     for j in range(q):
-        h += x[j : j + n] * up[j + 1]
+        h += a[at + j].astype(np.uint64) * up[j + 1]
     return mix(h)
 
 
@@ -76,7 +91,7 @@ class Items:
         self.n = np.array([len(a) for a in self.chars], np.int64)
         self.edits = np.array([budget(int(n), q, rate) for n in self.n], np.int64)
         self.bound = self.n + 1 - q - q * self.edits
-        h = [hashes(a, q) for a in self.chars]
+        h = [hashes(a, np.arange(len(a) - q + 1), q) for a in self.chars]
         item = np.repeat(np.arange(len(h)), [len(x) for x in h])
         pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in h]])
         h = np.concatenate([np.zeros(0, np.uint64), *h])
@@ -84,20 +99,24 @@ class Items:
         self.item, self.pos = item[order], pos[order]
         self.gram, self.first = np.unique(h[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(h)))
-        self.bits = max(16, int(len(self.gram) * 16).bit_length())
+        self.bits = min(30, max(16, int(len(self.gram) * 16).bit_length()))
         self.may = np.zeros(1 << self.bits, bool)
-        self.may[(self.gram >> U(64 - self.bits)).astype(np.int64)] = True
+        for a in self.chars:
+            self.may[quick(a, q) >> np.uint32(32 - self.bits)] = True
 
-    def regions(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, lowest diagonal, highest diagonal) of the bands whose shared q-grams reach the bound, for a text
-        with the q-gram hashes h. A diagonal is a position in the text less one in the item."""
+    def regions(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, lowest diagonal, highest diagonal) of the bands whose shared q-grams reach the bound, for a normalised
+        text. A diagonal is a position in the text less one in the item."""
         none = (np.zeros(0, np.int64),) * 3
-        at = np.flatnonzero(self.may[(h >> U(64 - self.bits)).astype(np.int64)])
+        if len(a) < self.q:
+            return none
+        at = np.flatnonzero(self.may[quick(a, self.q) >> np.uint32(32 - self.bits)])
         if not len(at):
             return none
-        g = np.searchsorted(self.gram, h[at])
+        h = hashes(a, at, self.q)
+        g = np.searchsorted(self.gram, h)
         g[g == len(self.gram)] = 0
-        hit = self.gram[g] == h[at]
+        hit = self.gram[g] == h
         at, g = at[hit], g[hit]
         if not len(at):
             return none
@@ -105,6 +124,10 @@ class Items:
         which = np.repeat(self.first[g], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         item, pos = self.item[which], self.pos[which]
         diag = np.repeat(at, c) - pos
+        some = np.bincount(item)[item] >= self.bound[item]  # fewer in the whole text: fewer in any band
+        if not some.any():
+            return none
+        item, pos, diag = item[some], pos[some], diag[some]
         # bands of 2e + 1 diagonals that begin every e + 1: any e + 1 neighbouring diagonals lie whole in one of them
         step = self.edits[item] + 1
         band = np.floor_divide(diag, step)
@@ -115,7 +138,11 @@ class Items:
         ok = n >= self.bound[keys[new, 0]]
         item, band = keys[new, 0][ok], keys[new, 1][ok]
         step = self.edits[item] + 1
-        return item, band * step, band * step + 2 * step - 1
+        if not len(item):
+            return none
+        join = (item[1:] == item[:-1]) & (band[1:] == band[:-1] + 1)  # neighbours overlap: they are one region
+        first, last = np.append(True, ~join), np.append(~join, True)
+        return item[first], (band * step)[first], (band * step + 2 * step - 1)[last]
 
 
 def _rows(x: np.ndarray) -> np.ndarray:
@@ -123,38 +150,49 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, (x[1:] != x[:-1]).any(1))]
 
 
-def align(a: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """The best place of all of a in text among alignments whose diagonals stay in low - most .. high + most:
-    (edits, first, past the end) if it needs at most `most` edits. The earliest of the best ends counts."""
-    n, lo = len(a), low - most
-    w = high - low + 2 * most + 1
-    big = np.int64(1 << 30)
-    j = np.arange(w)
-    d0 = lo + j  # positions in the text at row 0
-    d = np.where((d0 >= 0) & (d0 <= len(text)), 0, big).astype(np.int64)
-    start = d0.copy()
+def nearest(a: list[int], text: list[int], most: int) -> tuple[int, int] | None:
+    """(edits, past the end) of the best place of a in a piece of text, the earliest of the best ends, if it needs at
+    most `most` edits. All of a column of the alignment is in the bits of one number."""
+    n = len(a)
+    full, top, peq = (1 << n) - 1, 1 << (n - 1), {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    up, down, d, best = full, 0, n, (most + 1, 0)
+    for j, c in enumerate(text):
+        eq = peq.get(c, 0)
+        zero = ((((eq & up) + up) ^ up) | eq | down) & full
+        hp, hn = down | (full & ~(zero | up)), up & zero
+        if hp & top:
+            d += 1
+        elif hn & top:
+            d -= 1
+        hp, hn = hp << 1 & full, hn << 1 & full
+        up, down = hn | (full & ~(zero | hp)), hp & zero
+        if d < best[0]:
+            best = (d, j + 1)
+    return best if best[0] <= most else None
+
+
+def align(a: list[int], text: list[int], end: int, edits: int) -> tuple[int, int] | None:
+    """(edits, first) of the best alignment of all of a that ends at `end` in text, in the band of diagonals that are at most `edits` from where it
+    ends; None if it needs more edits. Of several the shortest stretch of text counts."""
+    n, w, big = len(a), 2 * edits + 1, 1 << 30
+    row = [j - edits if j >= edits else big for j in range(w)]  # from the end backwards
     for i in range(1, n + 1):
-        p = lo + i + j  # characters of the text used so far
-        ok = (p >= 1) & (p <= len(text))
-        same = np.full(w, False)
-        same[ok] = text[p[ok] - 1] == a[i - 1]
-        best, come = np.where(ok, d + ~same, big), start
-        skip = np.append(d[1:] + 1, big)  # a character of a has no partner; the diagonal falls by one
-        skip[(p < 0) | (p > len(text))] = big
-        better = skip < best
-        best, come = np.where(better, skip, best), np.where(better, np.append(start[1:], 0), come)
-        run = best - j  # characters of the text without partner
-        low_run = np.minimum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == low_run, j, 0))
-        via = low_run + j
-        take = (via < best) & (p <= len(text)) & (p >= 0)
-        d, start = np.where(take, via, best), np.where(take, come[src], come)
-        if d.min() > most:
-            return None
-    k = int(d.argmin())
-    if d[k] > most:
-        return None
-    return int(d[k]), int(start[k]), int(lo + n + k)
+        new, c = [big] * w, a[n - i]
+        for j in range(w):
+            used = i + j - edits  # characters of text used by this cell
+            if used < 0 or used > end:
+                continue
+            v = row[j] + (text[end - used] != c) if used else big
+            if j + 1 < w and row[j + 1] + 1 < v:
+                v = row[j + 1] + 1
+            if j and new[j - 1] + 1 < v:
+                v = new[j - 1] + 1
+            new[j] = v
+        row = new
+    d = min(row)
+    return (d, end - (n + row.index(d) - edits)) if d <= edits else None
 
 
 def find(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
@@ -162,12 +200,18 @@ def find(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
     if not text or not items.ids:
         return []
     a, at = normalised(text)
-    item, low, high = items.regions(hashes(a, items.q))
+    item, low, high = items.regions(a)
     out: dict[int, tuple[int, int, int]] = {}
     for i, lo, hi in zip(item.tolist(), low.tolist(), high.tolist()):
-        got = align(items.chars[i], a, lo, hi, int(items.edits[i]))
-        if got and (i not in out or got < out[i]):
-            out[i] = got
+        most, n = int(items.edits[i]), int(items.n[i])
+        lo = max(0, lo - most)
+        piece, chars = a[lo : hi + n + most].tolist(), items.chars[i].tolist()
+        got = nearest(chars, piece, most)
+        if got:
+            e, first = align(chars, piece, got[1], got[0])
+            got = (e, lo + first, lo + got[1])
+            if i not in out or got < out[i]:
+                out[i] = got
     return [(i, e, int(at[s]), int(at[t - 1]) + 1) for i, (e, s, t) in sorted(out.items())]
 
 
