@@ -3,8 +3,10 @@
 A document's set holds its word 3-shingles; its sketch the K smallest of their hashes. Inverted lists (retained
 value -> documents) generate overlaps. Only the rarest values of each sketch are listed: two sketches
 that share at least OVERLAP values share one of the first n - OVERLAP + 1 in any common order, so with the rarest first no
-qualifying pair is lost and lists of boilerplate aren't paired. The similarity of the remaining pairs is estimated
-from the bottom K of the union of both sketches, and those not clearly below the threshold are verified by their exact Jaccard similarity.
+qualifying pair is lost and lists of boilerplate aren't paired. Lists of the same documents count once. Within a list
+similarities are estimated from the bottom K of the union of two sketches; documents that are linked by estimates not
+clearly below the threshold are a bucket, whose pairs are verified by their exact Jaccard similarity. A pair that is linked already is not estimated again, so a list
+of n copies costs about n estimates, and nothing that is shuffled grows with the number of pairs.
 """
 
 from __future__ import annotations
@@ -73,6 +75,71 @@ def _sketch(k: int):
     return run
 
 
+def estimates(x: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimated Jaccard similarity of one sketch to each of others, and how many values each estimate is from. Sketches are sorted
+    and filled up with the largest number."""
+    k = len(x)
+    both = np.sort(np.concatenate([np.broadcast_to(x, others.shape), others], 1), 1)
+    first = np.ones(both.shape, bool)
+    first[:, 1:] = both[:, 1:] != both[:, :-1]
+    first &= both != _NONE
+    rank = first.cumsum(1)
+    twice = ~first & (both != _NONE) & (rank <= k)
+    size = np.minimum(rank[:, -1], k)
+    return twice.sum(1) / np.maximum(size, 1), size
+
+
+_NONE = np.iinfo(np.int64).max
+
+
+def linked(sketches: np.ndarray, threshold: float, slack: float) -> list[np.ndarray]:
+    """The groups of two or more sketches that estimates link, directly or through others."""
+    out, open_ = [], np.arange(len(sketches))
+    while len(open_) > 1:
+        group, rest, i = [open_[:1]], open_[1:], 0
+        todo = [int(open_[0])]
+        while i < len(todo) and len(rest):
+            e, n = estimates(sketches[todo[i]], sketches[rest])
+            ok = e >= threshold - slack * np.sqrt(threshold * (1 - threshold) / np.maximum(n, 1))
+            group.append(rest[ok])
+            todo += rest[ok].tolist()
+            rest, i = rest[~ok], i + 1
+        if len(todo) > 1:
+            out.append(np.concatenate(group))
+        open_ = rest
+    return out
+
+
+def _buckets(k: int, threshold: float, slack: float):
+    """Inverted lists, one after the other, to buckets."""
+
+    def run(batches):
+        values, nodes, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, k), np.int64)
+
+        def done(v, nodes, rows):
+            new = np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v)) if len(v) else np.zeros(1, np.int64)
+            keys, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(new[:-1].tolist(), new[1:].tolist()):
+                for i, g in enumerate(linked(rows[a:b], threshold, slack)):
+                    keys.append(np.full(len(g), mix(np.array([v[a]]).view(np.uint64) + np.uint64(i)).view(np.int64)[0]))
+                    held.append(nodes[a:b][g])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(held))], ["key", "node"])
+
+        for b in batches:
+            s = b.column(2)
+            n = np.diff(s.offsets.to_numpy())
+            m = np.full((len(n), k), _NONE, np.int64)
+            m[np.arange(k) < n[:, None]] = s.flatten().to_numpy()
+            values, nodes, rows = np.concatenate([values, b.column(0).to_numpy()]), np.concatenate([nodes, b.column(1).to_numpy()]), np.concatenate([rows, m])
+            at = int(np.searchsorted(values, values[-1])) if len(values) else 0  # the last list may go on
+            if at:
+                yield done(values[:at], nodes[:at], rows[:at])
+                values, nodes, rows = values[at:], nodes[at:], rows[at:]
+        yield done(values, nodes, rows)
+
+    return run
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
     """(id, keep_id): every document that is a near duplicate, with the document of its group that stays, the one of the
     smallest id. Groups are the components of the pairs whose Jaccard similarity is `threshold` or more.
@@ -92,15 +159,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = W.partitionBy("node")
     first = shared.withColumn("r", F.row_number().over(own.orderBy("c", "v"))).withColumn("t", F.count("*").over(own))
     first = first.where(F.col("r") <= F.col("t") - need(F.col("n")) + 1).select("v", "node")  # n - t values are unique: they come before
-    a, b = (first.select("v", F.col("node").alias(x)) for x in "ab")
-    overlaps = a.join(b, "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    s = reps.select("node", "s")
-    pairs = overlaps.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    low = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    pairs = pairs.withColumn("u", low).withColumn("e", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) / F.size("u"))
-    pairs = pairs.where(F.col("e") >= threshold - slack * F.sqrt(threshold * (1 - threshold) / F.size("u")))
-    key = F.xxhash64("a", "b")
-    buckets = written(pairs.select(key.alias("key"), F.explode(F.array("a", "b")).alias("node")), "pairs")
+    first = written(first, "postings")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    lists_ = first.groupBy("v").agg(F.count("*").alias("m"), *same).where("m > 1").groupBy("m", "x1", "x2").agg(F.min("v").alias("v")).select("v")
+    held = first.join(lists_, "v", "left_semi").join(reps.select("node", "s"), "node").select("v", "node", "s")
+    buckets = written(held.repartition("v").sortWithinPartitions("v").mapInArrow(_buckets(k, threshold, slack), "key long, node long"), "buckets")
 
     def texts(nodes: DataFrame) -> DataFrame:
         wanted = written(reps.select("node", "id").join(nodes, "node"), "wanted")
