@@ -22,18 +22,20 @@ from .common import pieces, written
 MAX_LABELLED = 20_000
 #: Words of the learnt lexicon, at most.
 MAX_LEXICON = 4_000
+#: Toxic texts that a word of the learnt lexicon is in, at least, and their share of all.
+LEAST_TOXIC, SHARE_TOXIC = 3, 0.005
 #: Calibrated probability from which a document is toxic.
 THRESHOLD = 0.5
 #: Distance in words to a second-person pronoun that counts as near.
 NEAR = 5
 
 LEXICON = frozenset(
-    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile cretin fool foolish loser losers trash garbage scum scumbag vermin "
+    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile cretin loser losers trash garbage scum scumbag vermin "
     "filth filthy pathetic worthless disgusting clown clowns ugly retard retarded bastard bastards asshole assholes bitch bitches shit "
-    "shitty bullshit crap fuck fucking fucked fucker motherfucker dick prick cunt slut whore pig pigs rat dickhead jackass jerk freak "
-    "degenerate parasite subhuman brainless halfwit dimwit dunce nitwit twat wanker tosser screw damn hell kill die hate despise repulsive "
-    "vile coward liar creep psycho lunatic crazy hideous useless braindead savage barbarian sewage maggot cockroach "
-    "imbécile crétin connard connasse salaud salope merde pute ordure débile abruti pourri minable dégoûtant nul bouffon raclure "
+    "shitty bullshit crap fuck fucking fucked fucker motherfucker prick cunt slut whore pig pigs dickhead jackass freak "
+    "degenerate parasite subhuman brainless halfwit dimwit dunce nitwit twat wanker tosser despise repulsive "
+    "vile coward psycho lunatic hideous useless braindead barbarian sewage maggot cockroach "
+    "imbécile crétin connard connasse salaud salope merde pute ordure débile abruti pourri minable dégoûtant bouffon raclure "
     "arschloch scheiße scheisse dummkopf trottel depp schwachkopf abschaum hurensohn wichser miststück widerlich erbärmlich wertlos "
     "idiota imbécil estúpido estúpida tonto tonta basura escoria mierda puta puto cabrón pendejo gilipollas asqueroso asquerosa patético inútil payaso".split()
 )
@@ -217,8 +219,9 @@ def _lexicon(rows: DataFrame, most: int) -> dict[bytes, float]:
         yield pa.RecordBatch.from_arrays([pa.array([g[0].decode() for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["w", "a", "b"])
 
     words = rows.select("y", "text").mapInArrow(arrow, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    odds = F.log((F.col("a") + 0.1) / (n[1] + 0.2)) - F.log((F.col("b") + 0.1) / (n[0] + 0.2))
-    kept = words.where("length(w) > 2 and a >= 3").withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("odds"), "w").limit(most)
+    odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
+    least = max(LEAST_TOXIC, SHARE_TOXIC * n[1])  # fewer may be copies of one text
+    kept = words.where((F.length("w") > 2) & (F.col("a") >= least)).withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("odds"), "w").limit(most)
     return {r["w"].encode(): float(r["odds"]) for r in kept.collect()}
 
 
@@ -228,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     several labels for an id the highest does. With no row of either class in a part the general lexicon decides
     alone."""
     rows = _sample(docs, labels, id_col, text_col, label_col, max_labelled)
-    learnt = _lexicon(rows.where("fold < 2"), max_lexicon)
+    learnt = _lexicon(rows.where("fold < 2").dropDuplicates(["y", "text"]), max_lexicon)
 
     def dense(batches):
         for b in pieces(batches, 2):
