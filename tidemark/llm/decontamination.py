@@ -255,19 +255,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, rate: float = RATE, bytes_: int = PASS_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark item occurs; null texts stay."""
-    sc = docs.sparkSession.sparkContext
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+    flag = fresh(names, "_clean")
     for items in passes(benchmark, item_col, "text", bytes_, q, rate):
-        shared = sc.broadcast(items)
+        clean = _clean(sc.broadcast(items))(F.col(f"`{text_col}`"))
+        docs = docs.withColumn(flag, clean).where(F.col(flag)).select(*[F.col(f"`{n}`") for n in names])
+    return docs
 
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            items = shared.value
-            return pa.array([not find(t.as_py(), items) for t in texts], pa.bool_())
 
-        flag = fresh(docs.columns, "_clean")
-        names = docs.columns
-        docs = docs.withColumn(flag, clean(F.col(f"`{text_col}`"))).where(F.col(flag)).select(*[F.col(f"`{n}`") for n in names])
-    return docs
+def _clean(shared):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        items = shared.value
+        return pa.array([not find(t.as_py(), items) for t in texts], pa.bool_())
+
+    return clean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,14 +161,10 @@ class Boosted:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: points between which probabilities are interpolated."""
-    order = np.argsort(score, kind="stable")
+    values, which = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # sum of y, count, first and last score
-    for s, v in zip(score[order], y[order]):
-        if blocks and blocks[-1][3] == s:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(v), 1, s, s])
+    for s, v, n in zip(values, np.bincount(which, y), np.bincount(which)):  # equal scores are one point
+        blocks.append([float(v), float(n), s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
