@@ -105,7 +105,7 @@ def features(text: str | None, learnt: dict[bytes, float]) -> list[float]:
     return [
         100 * general / n, 100 * known / n, 100 * weight / n, 100 * near / n, 100 * second / n, 100 * shouted / n,
         100 * float(count[65:91].sum()) / chars, 100 * float(count[48:58].sum()) / chars, 100 * float(count[_PUNCT].sum()) / chars, 100 * float(count[33]) / chars,
-        100 * odd / n, 100 * odd_hits / n, float(np.log1p(n)), float(general + known + odd_hits),
+        100 * odd / n, 100 * odd_hits / n, float(np.log1p(len(words))), float(general + known + odd_hits),
     ]
 
 
@@ -183,7 +183,8 @@ class Model:
         x = np.array([features(t, self.learnt) for t in texts]).reshape(len(texts), len(FEATURES))
         if self.trees is None:
             return np.where(x[:, -1] > 0, 0.9, 0.05)
-        return np.interp(self.trees.raw(x), *self.curve)
+        p = np.interp(self.trees.raw(x), *self.curve)
+        return np.where(x[:, FEATURES.index("log_words")] > 0, p, self.curve[1][0])  # without words nothing is toxic
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
@@ -247,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def probability(model: Model):
-    """A column function: text -> calibrated probability. Null and empty texts have the probability of a text
-    without any hit."""
+    """A column function: text -> calibrated probability. Texts without words, null and empty ones too, have the
+    lowest probability that the calibration gives."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
