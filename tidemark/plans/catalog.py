@@ -128,6 +128,17 @@ def distinct_errors(spark, d):
     return A.distinct_errors(_table(spark, d, "lineitem"), "l_returnflag", "l_suppkey", "l_partkey")
 
 
+@_add("SELECT l_returnflag, l_suppkey, exact FROM (SELECT l_returnflag, l_suppkey, count(DISTINCT l_partkey) AS exact FROM lineitem GROUP BY ALL) WHERE exact >= 50 ORDER BY exact DESC, l_returnflag, l_suppkey LIMIT 100")
+def top_distinct(spark, d):
+    """The exact side of distinct_errors."""
+    return distinct_errors(spark, d).select("l_returnflag", "l_suppkey", "exact")
+
+
+@_add()
+def storage_ratio(spark, d):
+    return A.storage_ratio(spark, f"{d}/lineitem.parquet", f"{d}/orders.parquet")
+
+
 @_add("SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY l_linestatus")
 def linear_fit(spark, d):
     x = A.linear_fit(_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_linestatus"])
@@ -172,6 +183,12 @@ def trending(spark, d):
     return T.top_k(T.windowed_counts(_events(spark, d), "ts", "event_type", "item", "1 day"), "event_type", "item").select(_text(), "event_type", "item", "actions", "rank")
 
 
+@_add(f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY window_start, event_type ORDER BY actions DESC, item) AS INTEGER) AS rank FROM ({_COUNTS.replace('hour', 'day')}) WHERE item IS NOT NULL) WHERE event_type = 'click' AND window_start = '2024-01-05 00:00:00' AND rank <= 10")
+def nearest_ranks(spark, d):
+    """The top of one window and key, as a report shows it."""
+    return A.nearest_ranks(trending(spark, d), {"event_type": "click", "window_start": "2024-01-05 00:00:00"}, 10)
+
+
 @_add("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') || ' → ' || strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%H:%M') AS label, count(*) AS actions FROM events GROUP BY 1")
 def window_labels(spark, d):
     x = T.with_watermark(_table(spark, d, "events"), "ts").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("actions"))
