@@ -2,10 +2,11 @@
 
 A rolling hash cuts texts into chunks at places that depend on the bytes just before only, so copies and shared
 passages give the same chunks wherever they stand. Chunks that occur more than once in the corpus are encoded
-once each and joined back to the documents that hold them; a document without such a chunk is encoded where it is.
-Then the joins between chunks are repaired. A word that a cut went through has other tokens than its halves; the
-text around the join, between the nearest places at which a pre-token begins in either context, is encoded again and
-replaces the tokens on both sides. The result is exactly the encoding of the whole text.
+once each. Their tokens go to the partitions of the input that hold them, as files in the shared folder, so that documents
+themselves are never shuffled; each partition puts its documents together from those tokens and its own for the text between. Then the joins
+between chunks are repaired. A word that a cut went through has other tokens than its halves; the text around the join, between the
+nearest places at which a pre-token begins in either context, is encoded again and replaces the tokens on both sides. The result is
+exactly the encoding of the whole text. Tokens that a partition lacks, as when partitions come out differently a second time, it makes itself.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, U, Bloom, bloom, fresh, lists, mix, pieces, powers, ranges, written
+from .common import BYTE, U, Bloom, bloom, fresh, lists, mix, pieces, powers, ranges, scratch, written
 
 #: The rank file, the pattern of pre-tokens that belongs to it, the mean bytes of a chunk (a power of 2), the fewest, and
 #: the bytes that the rolling hash sees.
@@ -124,8 +128,25 @@ def joined(enc, parts: list[list[int]]) -> list[int]:
 # --- encoding --------------------------------------------------------------------------------------------------
 
 
-def _key(i: int | None, text: bytes) -> bytes:
-    return hashlib.blake2b(text, digest_size=16, key=str(i).encode()[:64]).digest()
+def _key(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def _codes(path: str, part: int) -> dict[bytes, np.ndarray]:
+    """The tokens of the chunks that a partition shares, by key; none if it shares none."""
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    at = f"{root}/part={part}"
+    if fs.get_file_info(at).type == pafs.FileType.NotFound:
+        return {}
+    out = {}
+    for f in fs.get_file_info(pafs.FileSelector(at)):
+        if f.path.endswith(".parquet"):
+            table = pq.read_table(f.path, filesystem=fs, partitioning=None)
+            for keys, ids in zip(table.column("key").chunks, table.column("ids").chunks):
+                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                for i, k in enumerate(keys.to_pylist()):
+                    out[k] = flat[ends[i] : ends[i + 1]]
+    return out
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -151,95 +172,70 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     several = rows.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = spark.sparkContext.broadcast(bloom(written(several, "chunks")))
 
-    def seen(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        buf = np.frombuffer(text.encode(), np.uint8)
+    def seen(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+        raw = text.encode()
+        buf = np.frombuffer(raw, np.uint8)
         at = cuts(buf)
-        return buf, at, Bloom(shared.value).has(chunk_hashes(buf, at))
+        return raw, at, Bloom(shared.value).has(chunk_hashes(buf, at))
 
-    def whole(batches):
-        enc = encoding(vocabulary)
-        for b in pieces(batches, 1):
-            i, ids, ok, null = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t and seen(t)[2].any():
-                    continue
-                x = enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32)
-                i.append(d)
-                ids.append(x)
-                null.append(t is None)
-                ok.append(None if t is None else enc.decode_bytes(x.tolist()) == t.encode())
-            yield _result(i, ids, ok, null)
-
-    def parts(batches):
-        """Of the documents with shared chunks: each shared chunk as text, each stretch between them encoded."""
-        enc = encoding(vocabulary)
-        for b in pieces(batches, 1):
+    def chunks(batches):
+        """(chunk, part): the shared chunks of each partition, once each."""
+        part, known = TaskContext.get().partitionId(), set()
+        for b in pieces(batches, 0):
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t:
-                    continue
-                buf, at, has = seen(t)
-                if not has.any():
-                    continue
-                raw, k, i = buf.tobytes(), 0, 0
-                key = _key(d, raw)
-                while i < len(has):
-                    j = i + 1
-                    while not has[i] and j < len(has) and not has[j]:
-                        j += 1
-                    s = raw[at[i] : at[j]].decode()
-                    out.append((key, d, k, s if has[i] else None, None if has[i] else enc.encode_ordinary(s)))
-                    i, k = j, k + 1
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())))], ["key", "id", "seq", "chunk", "ids"])
+            for t in b.column(0).to_pylist():
+                if t:
+                    raw, at, has = seen(t)
+                    for i in np.flatnonzero(has).tolist():
+                        c = raw[at[i] : at[i + 1]]
+                        if (k := hash(c)) not in known:  # a collision leaves a chunk to be encoded where it is
+                            known.add(k)
+                            out.append(c.decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([part] * len(out), pa.int32())], ["chunk", "part"])
 
     def once(batches):
         enc = encoding(vocabulary)
         for b in pieces(batches, 0):
-            ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], ["chunk", "ids"])
+            texts = b.column(0).to_pylist()
+            ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(t.encode()) for t in texts], pa.binary()), _lists(ids), b.column(1)], ["key", "ids", "parts"])
+
+    codes = scratch(spark, "codes")
+    by_chunk = rows.select("text").mapInArrow(chunks, "chunk string, part int").groupBy("chunk").agg(F.collect_list("part").alias("parts"))
+    made = by_chunk.mapInArrow(once, "key binary, ids array<int>, parts array<int>").select("key", "ids", F.explode("parts").alias("part"))
+    made.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(codes)
 
     def assembled(batches):
-        enc = encoding(vocabulary)
-        key, d, copies, got, seq = None, None, 0, [], -1
-
-        def done():
-            x = joined(enc, got)
-            return [d] * copies, [np.array(x, np.uint32)] * copies, [_key(d, enc.decode_bytes(x)) == key] * copies
-
-        def flush(i, ids, ok):
-            return _result(i, ids, ok, [False] * len(i))
-
-        i, ids, ok, size = [], [], [], 0
-        for b in batches:
-            for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                if r[0] != key:
-                    if key is not None:
-                        for to, x in zip((i, ids, ok), done()):
-                            to += x
-                        size += sum(map(len, got))
-                        if size > 1 << 20:
-                            yield flush(i, ids, ok)
-                            i, ids, ok, size = [], [], [], 0
-                    key, d, copies, got, seq = r[0], r[1], 0, [], -1
-                copies += r[2] == 0
-                if r[2] != seq:  # a row that is repeated has its parts repeated
-                    got.append(r[3].values.to_pylist())
-                    seq = r[2]
-        if key is not None:
-            for to, x in zip((i, ids, ok), done()):
-                to += x
-        yield flush(i, ids, ok)
+        enc, have = encoding(vocabulary), _codes(codes, TaskContext.get().partitionId())
+        for b in pieces(batches, 1):
+            out = []
+            for t in b.column(1).to_pylist():
+                if not t:
+                    out.append(np.zeros(0, np.uint32))
+                    continue
+                raw, at, has = seen(t)
+                found = [have.get(_key(raw[at[i] : at[i + 1]])) if has[i] else None for i in range(len(has))] if has.any() else []
+                if not any(x is not None for x in found):
+                    out.append(enc.encode_to_numpy(t, disallowed_special=()))
+                    continue
+                parts, i = [], 0
+                while i < len(found):
+                    j = i + 1
+                    if found[i] is None:
+                        while j < len(found) and found[j] is None:
+                            j += 1
+                        parts.append(enc.encode_ordinary(raw[at[i] : at[j]].decode()))
+                    else:
+                        parts.append(found[i].tolist())
+                    i = j
+                x = joined(enc, parts)
+                out.append(np.array(x, np.uint32))
+            texts = b.column(1).to_pylist()
+            ok = [None if t is None else enc.decode_bytes(x.tolist()) == t.encode() for t, x in zip(texts, out)]
+            yield _result(b.column(0).to_pylist(), out, ok, [t is None for t in texts])
 
     schema = "id long, ids array<int>, n_tokens int, round_trip boolean"
-    alone = rows.mapInArrow(whole, schema)
-    cut = written(rows.mapInArrow(parts, "key binary, id long, seq int, chunk string, ids array<int>"), "parts")
-    chunks = cut.where("chunk is not null")
-    codes = chunks.select("chunk").distinct().mapInArrow(once, "chunk string, ids array<int>")
-    back = chunks.select("key", "id", "seq", "chunk").join(codes, "chunk").select("key", "id", "seq", "ids")
-    all_ = back.unionByName(cut.where("chunk is null").select("key", "id", "seq", "ids"))
-    put = all_.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(assembled, schema)
-    return alone.unionByName(put).withColumnRenamed("id", fresh(["ids", "n_tokens", "round_trip"], id_col))
+    return rows.mapInArrow(assembled, schema).withColumnRenamed("id", fresh(["ids", "n_tokens", "round_trip"], id_col))
 
 
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
