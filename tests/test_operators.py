@@ -92,6 +92,22 @@ def test_jaccard_and_minhash(spark):
     assert m["b", "a"] == m["a", "b"] and m["d", "d"] == 1.0 and len(m) == 16
 
 
+def test_mllib_pairs_of_all_items(spark, monkeypatch):
+    """Items of one set only are in the distance too, whatever the vocabulary's limit; here pyspark's default is forced below the items."""
+    from pyspark.ml.feature import CountVectorizer
+
+    init = CountVectorizer.__init__
+    monkeypatch.setattr(CountVectorizer, "__init__", lambda self, **x: init(self, **{"vocabSize": 50} | x))
+    make = lambda **s: spark.createDataFrame([(k, x) for k, v in s.items() for x in v], "s string, item long")
+    long = make(a=range(100), b=range(50, 150), c=[*range(100), 5])
+    got = {(r["a"], r["b"]): r["jaccard_distance"] for r in M.mllib_pairs(long, "s", 20).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert got["a", "c"] == 0 and math.isclose(got["a", "b"], 2 / 3) and math.isclose(got["b", "c"], 2 / 3)
+    at = M.numbered(long.select(F.col("item").cast("string")), 7).collect()
+    assert sorted(r["at"] for r in at) == list(range(150)) and len({r["item"] for r in at}) == 150
+    assert {r["v"].size for r in M.vectors(long, "s").collect()} == {150}
+
+
 def test_precision_recall(spark):
     found = spark.createDataFrame([(1, 1, *p) for p in (("a", "b"), ("b", "c"), ("a", "c"))], "bands int, rows int, a string, b string")
     truth = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")

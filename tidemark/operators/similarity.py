@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.columns import bands_label
 from ..functions.hashing import PRIME, family_table, universal
@@ -95,11 +97,33 @@ def detection_curve(spark, configs: Sequence[tuple[int, int]] = CONFIGS, points:
     return s.crossJoin(c).withColumn("detected", 1 - F.pow(1 - F.pow("similarity", F.col("rows")), F.col("bands")))
 
 
+def numbered(items: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(item, at): the distinct items with the numbers from 0 on, none left out, as the reference maps ids to indices. Items are ranked within
+    buckets of their hashes and follow the buckets before; the numbers depend on the items only, and no item goes to the driver."""
+    x = items.select("item").where("item is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int"))
+    n = x.groupBy("bucket").agg(F.count("*").alias("n"))  # `buckets` rows at most
+    before = n.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("item"))
+    return x.withColumn("rank", rank).join(F.broadcast(before), "bucket").select("item", (F.col("before") + F.col("rank") - 1).cast("int").alias("at"))
+
+
+def vectors(long: DataFrame, key: str) -> DataFrame:
+    """(id, v): each set as a sparse vector with a place for every item of all sets. Sets without items have no rows. A vector is one value,
+    as MLlib wants it."""
+    from pyspark.ml.linalg import VectorUDT
+
+    at = numbered(long)
+    n = at.count()
+    x = long.join(at, "item").groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set("at")).alias("indices"))
+    v = F.struct(F.lit(0).alias("type"), F.lit(n).alias("size"), "indices", F.transform("indices", lambda _: F.lit(1.0)).alias("values"))
+    return x.select("id", F.from_json(F.to_json(F.struct(v.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"].alias("v"))  # the JVM's way to a vector
+
+
 def mllib_pairs(long: DataFrame, key: str, tables: int = 5, distance: float = 0.8) -> DataFrame:
-    """(a, b, jaccard_distance) by MLlib's MinHashLSH with its own functions: pairs below a distance, found approximately."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
+    """(a, b, jaccard_distance) by MLlib's MinHashLSH with its own functions: pairs below a distance, found approximately; the distances are of
+    all items."""
+    from pyspark.ml.feature import MinHashLSH
 
-    docs = long.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.col("item").cast("string")).alias("items"))
-    vectors = CountVectorizer(inputCol="items", outputCol="v", binary=True, minDF=1.0).fit(docs).transform(docs).select("id", "v")
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=42).fit(vectors)
-    return model.approxSimilarityJoin(vectors, vectors, distance, "d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("d").alias("jaccard_distance")).where("a < b")
+    docs = vectors(long, key)
+    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=42).fit(docs)
+    return model.approxSimilarityJoin(docs, docs, distance, "d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("d").alias("jaccard_distance")).where("a < b")
