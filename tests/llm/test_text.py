@@ -1,6 +1,7 @@
 """BPE, toxicity, decontamination, licences, sharding, WARC and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -173,6 +174,22 @@ def test_licences(spark):
     assert len(own) == 1 and own[0]["license"] is None
 
 
+def test_copyright_lines_of_names(spark):
+    lines = ["Copyright Joyent, Inc. and other Node contributors.", "Copyright Microsoft Corporation", "Copyright John Doe, 2015", "# Copyright The Regents of X", "Portions Copyright Ärzte e. V.", "COPYRIGHT ORACLE AND OTHERS"]
+    mit = next(t for k, t in license_texts.TEXTS if k == "MIT")
+    texts = [f"{x}\n\n{mit}" for x in lines]
+    got = [r["license"] for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * len(lines)
+    # the licences' own sentences stay, wherever their lines begin
+    own = [(k, re.sub(r"\s+(?=copyright\b)", "\n", t, flags=re.I)) for k, t in license_texts.TEXTS]
+    own += [(k, t.upper()) for k, t in own]
+    assert any("\ncopyright" in t for _, t in own)
+    whole = {r["doc_id"]: r["license"] for r in license_scan.scan(docs(spark, [t for _, t in own])).collect()}
+    assert [whole[i] for i in range(len(own))] == [k for k, _ in own]
+    kept = spark.createDataFrame([(f"copyright {x} of the work",) for x in ("holder", "holders", "owner", "notice", "license", "and permission notice")], "t string")
+    assert all("copyright" in r[0] for r in kept.select(license_scan.canonical(F.col("t"))).collect())
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------
 
 

@@ -25,6 +25,11 @@ SPELLINGS = {
 }
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(portions )?(copyright[ \t]*(\(c\)|©|:|[0-9]|<|\[|\{|by )|\(c\)[ \t]*(copyright|[0-9])|©|all rights reserved)[^\n]*"
 
+#: What follows "copyright" where a licence's own sentence goes on at a line's beginning, rather than a name.
+_OWN = "and|or|in|of|on|to|is|are|as|at|for|from|with|that|which|under|within|act|claims?|disclaimers?|holders?|information|infringements?|interests?|laws?|licen[cs](?:e|es|ed|ing)|management|notices?|owners?|ownership|permissions?|protections?|rights?|statements?|status|terms?|treaty|treaties"
+#: Lines of a name without a sign, too. The SQL has _COPYRIGHT alone: DuckDB's expressions can't look ahead.
+_NAMED = rf"(^|\n)[^a-z0-9\n]*(portions )?copyright[ \t]+(?!(?:{_OWN})(?![\p{{L}}\p{{N}}]))\p{{L}}[^\n]*"
+
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -33,7 +38,7 @@ def _quoted(s: str) -> str:
 def canonical(text: Column, spellings: dict[str, str] | None = None) -> Column:
     """The canonical form of a text, line by line: words with one blank on each side, lines with a newline between them. Null gives
     null."""
-    x = F.regexp_replace(F.lower(F.replace(text, F.lit("\r"), F.lit("\n"))), _COPYRIGHT, "\n")
+    x = F.regexp_replace(F.lower(F.replace(text, F.lit("\r"), F.lit("\n"))), f"{_COPYRIGHT}|{_NAMED}", "\n")
     x = F.concat(F.lit("  "), F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", "  "), r"\n", "  \n  "), F.lit("  "))
     for a, b in (SPELLINGS if spellings is None else spellings).items():
         x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
