@@ -157,6 +157,16 @@ def test_decontamination(spark):
     assert decontamination.matches(df, bench.limit(0)).count() == decontamination.matches(df.limit(0), bench).count() == 0
 
 
+def test_short_items(spark):
+    items = ["42", "Yes!", "no", "東京", "a-b", "q" * 8, "yes", "?", "ไทย"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["The answer: 42.", "142 and 4 2, yesterday", "Oh YES; a  b", "私は東京に住む", "no", "know", "", None, "東 京", "yes " * 3, "x " + "q" * 8, "ภาษาไทยดี"]
+    got = {(r["doc_id"], r["item_id"], r["edits"], texts[r["doc_id"]][r["first_char"] : r["end_char"]]) for r in decontamination.matches(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0, 0, "42"), (2, 1, 0, "YES"), (2, 6, 0, "YES"), (2, 4, 0, "a  b"), (3, 3, 0, "東京"), (4, 2, 0, "no"), (9, 1, 0, "yes"), (9, 6, 0, "yes"), (10, 5, 0, "q" * 8), (11, 8, 0, "ไทย")}
+    assert rows(decontamination.keep_clean(docs(spark, texts), bench).select("doc_id")) == [(1,), (5,), (6,), (7,), (8,)]
+    assert decontamination.matches(docs(spark, texts), bench, bytes_=1).count() == len(got)
+
+
 # --- licences ---------------------------------------------------------------------------------------------------
 
 

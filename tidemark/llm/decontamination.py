@@ -4,7 +4,8 @@ Texts and benchmark items are normalised to lower-case letters and digits with s
 length n occurs in a document with at most e edits only if they share at least n + 1 - q - q * e of its q-grams on
 diagonals that are at most e apart, so within one of the overlapping bands of diagonals. Shared
 q-grams are counted by band; the regions that reach the bound are verified by banded alignment. The filter loses
-nothing: what it drops can't be within the edit budget.
+nothing: what it drops can't be within the edit budget. Items shorter than a gram may have no edits and are searched for as they are, between
+word boundaries.
 """
 
 from __future__ import annotations
@@ -34,6 +35,22 @@ for _i in range(_TOP):
 _NORMAL = np.where(_solid, _lower, 32).astype(np.uint32)
 
 
+#: Scripts that put no blanks between words: first and last code points. Each of their characters is a word.
+UNSPACED = np.array([
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3100, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+])
+
+
+def boundaries(a: np.ndarray) -> np.ndarray:
+    """For each of the len(a) + 1 places in normalised characters whether a word may begin or end there."""
+    i = np.searchsorted(UNSPACED[:, 0], a, side="right") - 1
+    free = (a == 32) | ((i >= 0) & (a <= UNSPACED[np.maximum(i, 0), 1]))
+    edge = np.ones(len(a) + 1, bool)
+    edge[1:-1] = free[1:] | free[:-1]
+    return edge
+
+
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The normalised characters of a text as code points, and where each stands in it."""
     a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -83,11 +100,22 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], q: int = Q, rate: float = RATE) -> None:
         self.q, self.ids, self.chars = q, [], []
+        brief: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, t in zip(ids, texts):
             a = normalised(t)[0]
             if len(a) >= q:
                 self.ids.append(i)
                 self.chars.append(a)
+            elif len(a):
+                brief.setdefault(len(a), []).append((i, a))
+        #: For each length below q: the items' hashes, sorted, their numbers, which follow those of the others, and their characters.
+        self.brief: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, x in brief.items():
+            chars = np.stack([a for _, a in x])
+            h = hashes(chars.ravel(), np.arange(len(x)) * n, n)
+            order = np.argsort(h, kind="stable")
+            self.brief.append((n, h[order], len(self.ids) + order, chars[order]))
+            self.ids += [i for i, _ in x]
         self.n = np.array([len(a) for a in self.chars], np.int64)
         self.edits = np.array([budget(int(n), q, rate) for n in self.n], np.int64)
         self.bound = self.n + 1 - q - q * self.edits
@@ -145,6 +173,24 @@ class Items:
         return item[first], (band * step)[first], (band * step + 2 * step - 1)[last]
 
 
+    def shorter(self, a: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first, past the end) of the first places of the items of fewer than q characters that occur between word boundaries."""
+        out, edge = [], boundaries(a) if self.brief else None
+        for n, gram, item, chars in self.brief:
+            if len(a) < n:
+                continue
+            at = np.flatnonzero(edge[:-n] & edge[n:])
+            h = hashes(a, at, n)
+            order = np.argsort(h, kind="stable")
+            lo, hi = (np.searchsorted(h[order], gram, side=x) for x in ("left", "right"))
+            for k in np.flatnonzero(hi > lo).tolist():
+                for s in at[order[lo[k] : hi[k]]].tolist():
+                    if (a[s : s + n] == chars[k]).all():
+                        out.append((int(item[k]), s, s + n))
+                        break
+        return out
+
+
 def _rows(x: np.ndarray) -> np.ndarray:
     x = x[np.lexsort(x.T[::-1])]
     return x[np.append(True, (x[1:] != x[:-1]).any(1))]
@@ -212,6 +258,7 @@ def find(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
             got = (e, lo + first, lo + got[1])
             if i not in out or got < out[i]:
                 out[i] = got
+    out |= {i: (0, s, t) for i, s, t in items.shorter(a)}
     return [(i, e, int(at[s]), int(at[t - 1]) + 1) for i, (e, s, t) in sorted(out.items())]
 
 
@@ -233,7 +280,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item, edits, first_char, end_char) for each document and each benchmark item that occurs in it within
     rate * length edits, at its best place (fewest edits, then first).
 
-    Null texts, null items and items of fewer than q normalised characters match nothing. Repeated rows of docs give repeated results;
+    Null texts, null items and items without letters and digits match nothing. Items of fewer than q normalised characters match as whole words,
+    without edits; in scripts without blanks each character is a word. Repeated rows of docs give repeated results;
     an id that is null is passed on. Repeated benchmark items give one result each. Of other columns nothing depends."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
