@@ -141,6 +141,20 @@ def test_flajolet_martin(spark):
     assert K.fm_estimates(reg, ["s"], [8]).where("s = 'a'").first()["estimate"] == want
 
 
+def test_murmur_sketches(spark):
+    """The reference's bits and registers, of items that aren't whole numbers too."""
+    assert murmur3([b"test", b"Hello, world!", b"aaaa"], 0x9747B28C).tolist() == [0x704B81DC, 0x24884CBA, 0x5A97808A]  # published values
+    names = ["foo", "Ünï", "a b c", "", "17"]
+    items = spark.createDataFrame([("s", x) for x in [*names, None]], "s string, item string")
+    h = [[abs(int(murmur3([x.encode()], seed)[0])) for seed in range(16)] for x in names]
+    bits = K.bloom_bits(items, 1000, 5, mmh3=True)
+    assert {r["place"] for r in bits.collect()} == {v % 1000 for x in h for v in x[:5]}
+    probes = spark.createDataFrame([(x,) for x in ["foo", "bar", ""]], "item string")
+    assert rows(K.bloom_contains(bits, probes, 1000, 5, mmh3=True)) == [("", True), ("bar", False), ("foo", True)]
+    tz = lambda v: 32 if v == 0 else (v & -v).bit_length() - 1
+    assert rows(K.fm_registers(items, ["s"], 16, mmh3=True)) == sorted((("s", i, max(tz(x[i]) for x in h)) for i in range(16)), key=str)
+
+
 def test_perturbed_sets(spark):
     long = spark.range(100).select(F.lit("s").alias("s"), F.col("id").alias("item"))
     p = S.perturbed(long, "s", [0.1, 0.5])

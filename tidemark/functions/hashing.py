@@ -71,3 +71,18 @@ def murmur(item: Column, seed: int = 0) -> Column:
         return pa.array(h, pa.int64(), mask=x.is_null().to_numpy(zero_copy_only=False))
 
     return run(item.cast("string"))
+
+
+def murmurs(item: Column, n: int) -> Column:
+    """The absolute values of MurmurHash3 of an item's text with seeds 0 to n - 1, as an array; null for null. Arrow batches."""
+
+    @F.arrow_udf("array<long>")
+    def run(x: pa.Array) -> pa.Array:
+        items = [(v or "").encode() for v in x.to_pylist()]
+        h = np.empty((len(items), n), np.int64)
+        for seed in range(n):
+            h[:, seed] = murmur3(items, seed)
+        offsets = pa.array(np.arange(len(items) + 1) * n, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.abs(h).ravel()), mask=x.is_null())
+
+    return run(item.cast("string"))

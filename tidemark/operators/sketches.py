@@ -1,5 +1,6 @@
 """Bloom filters and Flajolet-Martin sketches as relations: bits and registers are rows, so they build, merge and probe
-by aggregation and joins, and nothing has to fit one task."""
+by aggregation and joins, and nothing has to fit one task. Items are hashed by the universal family, which takes whole numbers, or, with mmh3,
+by MurmurHash3 of their text with seeds from 0 on, which takes any items and gives the reference's very bits and registers."""
 
 from __future__ import annotations
 
@@ -9,31 +10,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import absolute_error, trailing_zeros
-from ..functions.hashing import family_table, universal
+from ..functions.hashing import family_table, murmurs, universal
 
 SIZES, HASHES = (100_000, 500_000, 1_000_000, 5_000_000), (3, 5, 7, 10)
 FM_HASHES = (16, 32, 64, 128, 256)
 PHI = 0.77351
 
 
+def _hashed(items: DataFrame, n: int, mmh3: bool) -> DataFrame:
+    """(i, items' columns, hash): each item by each of n functions."""
+    if mmh3:
+        return items.select(*items.columns, F.posexplode(murmurs(F.col("item"), n)).alias("i", "hash")).select("i", *items.columns, "hash")
+    return items.crossJoin(F.broadcast(family_table(items.sparkSession, n))).select("i", *items.columns, universal(F.col("item")).alias("hash"))
+
+
 # --- Bloom ------------------------------------------------------------------------------------------------------
 
 
-def _places(items: DataFrame, sizes: Sequence[int], k: int) -> DataFrame:
+def _places(items: DataFrame, sizes: Sequence[int], k: int, mmh3: bool = False) -> DataFrame:
     """(m, i, item, place): where the i-th function puts an item in a filter of m bits."""
     spark = items.sparkSession
     m = F.broadcast(spark.createDataFrame([(int(x),) for x in sizes], "m long"))
-    return items.crossJoin(F.broadcast(family_table(spark, k))).crossJoin(m).select("m", "i", *items.columns, F.pmod(universal(F.col("item")), F.col("m")).alias("place"))
+    return _hashed(items, k, mmh3).crossJoin(m).select("m", "i", *items.columns, F.pmod("hash", F.col("m")).alias("place"))
 
 
-def bloom_bits(items: DataFrame, m: int, k: int) -> DataFrame:
+def bloom_bits(items: DataFrame, m: int, k: int, mmh3: bool = False) -> DataFrame:
     """The set bits of the filter that holds `item` of all rows; the union of two such tables is the union's filter."""
-    return _places(items.select("item").where("item is not null"), [m], k).select("place").distinct()
+    return _places(items.select("item").where("item is not null"), [m], k, mmh3).select("place").distinct()
 
 
-def bloom_contains(bits: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
+def bloom_contains(bits: DataFrame, probes: DataFrame, m: int, k: int, mmh3: bool = False) -> DataFrame:
     """The distinct items of probes with contained: whether all their bits are set. Without bits nothing is contained."""
-    p = _places(probes.select("item").where("item is not null").distinct(), [m], k).select("item", "place").distinct()
+    p = _places(probes.select("item").where("item is not null").distinct(), [m], k, mmh3).select("item", "place").distinct()
     hit = p.join(bits.withColumn("set", F.lit(True)), "place", "left")
     return hit.groupBy("item").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("contained"))
 
@@ -47,26 +55,26 @@ def bloom_memory(m: Column) -> Column:
     return F.ceil(m / 8)
 
 
-def bloom_grid(known: DataFrame, probes: DataFrame, sizes: Sequence[int] = SIZES, hashes: Sequence[int] = HASHES) -> DataFrame:
+def bloom_grid(known: DataFrame, probes: DataFrame, sizes: Sequence[int] = SIZES, hashes: Sequence[int] = HASHES, mmh3: bool = False) -> DataFrame:
     """For each size and number of functions the expected share of false positives, and the share of probes, none of which may be known, that were found. One job: filters of fewer
     functions are part of those of more."""
     spark, top = known.sparkSession, max(hashes)
     known, probes = (x.select("item").where("item is not null").distinct() for x in (known, probes))
-    bits = _places(known, sizes, top).groupBy("m", "place").agg(F.min("i").alias("first"))  # set in filters of more functions than that
+    bits = _places(known, sizes, top, mmh3).groupBy("m", "place").agg(F.min("i").alias("first"))  # set in filters of more functions than that
     ks = F.broadcast(spark.createDataFrame([(int(k),) for k in hashes], "k int"))
-    hit = _places(probes, sizes, top).join(bits, ["m", "place"], "left").crossJoin(ks).where("i < k")
+    hit = _places(probes, sizes, top, mmh3).join(bits, ["m", "place"], "left").crossJoin(ks).where("i < k")
     found = hit.groupBy("m", "k", "item").agg(F.max(F.coalesce("first", F.lit(top))).alias("worst"))
     rates = found.groupBy("m", "k").agg(F.count("*").alias("probes"), F.count_if(F.col("worst") < F.col("k")).alias("found"))
     x = rates.crossJoin(F.broadcast(known.agg(F.count("*").alias("adds"))))
     return x.select("m", "k", "adds", bloom_expected(F.col("k"), F.col("adds"), F.col("m")).alias("expected"), (F.col("found") / F.col("probes")).alias("measured"), bloom_memory(F.col("m")).alias("memory_bytes"))
 
 
-def bloom_stream(df: DataFrame, item: str, order: str, m: int, k: int) -> DataFrame:
+def bloom_stream(df: DataFrame, item: str, order: str, m: int, k: int, mmh3: bool = False) -> DataFrame:
     """One row: what a filter that takes in a stream item by item would have answered, against the truth. An item counts as seen if
     all its bits were set by rows before it. order is a column without ties."""
     x = df.select(F.col(item).alias("item"), F.col(order).alias("at")).where("item is not null")
     firsts = x.groupBy("item").agg(F.min("at").alias("first_at"))
-    places = _places(firsts, [m], k).select("item", "first_at", "place").distinct()
+    places = _places(firsts, [m], k, mmh3).select("item", "first_at", "place").distinct()
     bits = places.groupBy("place").agg(F.min("first_at").alias("set_at"))
     full = places.join(bits, "place").groupBy("item").agg(F.max("set_at").alias("all_set_at"))
     seen = x.join(firsts, "item").join(full, "item").select((F.col("first_at") < F.col("at")).alias("truth"), (F.col("all_set_at") < F.col("at")).alias("says"))
@@ -77,10 +85,9 @@ def bloom_stream(df: DataFrame, item: str, order: str, m: int, k: int) -> DataFr
 # --- Flajolet-Martin --------------------------------------------------------------------------------------------
 
 
-def fm_registers(long: DataFrame, keys: Sequence[str], n: int = 256) -> DataFrame:
+def fm_registers(long: DataFrame, keys: Sequence[str], n: int = 256, mmh3: bool = False) -> DataFrame:
     """(keys..., i, r): for each of n functions the most trailing zeros among an item set's hashes."""
-    f = F.broadcast(family_table(long.sparkSession, n))
-    return long.crossJoin(f).groupBy(*keys, "i").agg(F.max(trailing_zeros(universal(F.col("item")))).alias("r"))
+    return _hashed(long.select(*keys, "item"), n, mmh3).groupBy(*keys, "i").agg(F.max(trailing_zeros(F.col("hash"))).alias("r"))
 
 
 def fm_merged(registers: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,10 +105,10 @@ def fm_estimates(registers: DataFrame, keys: Sequence[str], hashes: Sequence[int
     return medians.groupBy(*keys, "hashes").agg(F.floor(F.pow(F.lit(2.0), F.avg("m")) / PHI).cast("long").alias("estimate"))
 
 
-def fm_evaluation(long: DataFrame, keys: Sequence[str], hashes: Sequence[int] = FM_HASHES) -> DataFrame:
+def fm_evaluation(long: DataFrame, keys: Sequence[str], hashes: Sequence[int] = FM_HASHES, mmh3: bool = False) -> DataFrame:
     """Each set's estimate beside the exact count, for each number of functions; registers are made once."""
     n = long.groupBy(*keys).agg(F.count_distinct("item").alias("exact"))
-    e = fm_estimates(fm_registers(long, keys, max(hashes)), keys, hashes)
+    e = fm_estimates(fm_registers(long, keys, max(hashes), mmh3), keys, hashes)
     return e.join(n, list(keys)).withColumn("error_pct", absolute_error(F.col("estimate"), F.col("exact")))
 
 

@@ -467,6 +467,18 @@ def fm_merged(spark, d):
     return K.fm_estimates(K.fm_merged(K.fm_registers(_pages(spark, d), ["l_partkey"]), []), [])
 
 
+@_add()
+def bloom_mmh3(spark, d):
+    """bloom_bits with the reference's hashes."""
+    return K.bloom_bits(_table(spark, d, "orders").select(F.col("o_custkey").alias("item")), 1_000_000, 7, mmh3=True)
+
+
+@_add()
+def fm_mmh3(spark, d):
+    """fm_evaluation with the reference's hashes."""
+    return _rounded(K.fm_evaluation(_pages(spark, d), ["l_partkey"], mmh3=True), 4)
+
+
 @_add()
 def murmur_hash(spark, d):
     return _table(spark, d, "customer").select("c_custkey", murmur(F.col("c_custkey")).alias("h"))
