@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. Where that is unset and everything runs in one process, it lies in a temporary folder; on a cluster
-    without the setting this raises ValueError."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset and everything runs in one
+    process (tests), a temporary folder is made; on a cluster without the setting this raises ValueError."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    set_to = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if set_to:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(set_to)
+        return set_to.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
