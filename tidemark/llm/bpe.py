@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash cuts texts into chunks at places that depend on the bytes just before only, so copies and shared
-passages give the same chunks wherever they stand. Chunks that occur more than once in the corpus are encoded
-once each. Their tokens go to the partitions of the input that hold them, as files in the shared folder, so that documents
-themselves are never shuffled; each partition puts its documents together from those tokens and its own for the text between. Then the joins
+passages give the same chunks wherever they stand. Chunks whose hash occurs more than once in the corpus are encoded
+once each, by the first partition of the input that holds them. Their tokens go to the other partitions that hold them, so that hashes and tokens are shuffled,
+texts never are; each partition puts its documents together from those tokens and its own for the text between. Then the joins
 between chunks are repaired. A word that a cut went through has other tokens than its halves; the text around the join, between the
 nearest places at which a pre-token begins in either context, is encoded again and replaces the tokens on both sides. The result is
 exactly the encoding of the whole text. Tokens that a partition lacks, as when partitions come out differently a second time, it makes itself.
@@ -17,13 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE, U, Bloom, bloom, fresh, lists, mix, pieces, powers, ranges, scratch, written
+from .common import BYTE, U, Routed, fresh, lists, mix, pieces, powers, ranges, signed, written
 
 #: The rank file, the pattern of pre-tokens that belongs to it, the mean bytes of a chunk (a power of 2), the fewest, and
 #: the bytes that the rolling hash sees.
@@ -132,21 +131,16 @@ def _key(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _codes(path: str, part: int) -> dict[bytes, np.ndarray]:
-    """The tokens of the chunks that a partition shares, by key; none if it shares none."""
-    fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-    at = f"{root}/part={part}"
-    if fs.get_file_info(at).type == pafs.FileType.NotFound:
-        return {}
-    out = {}
-    for f in fs.get_file_info(pafs.FileSelector(at)):
-        if f.path.endswith(".parquet"):
-            table = pq.read_table(f.path, filesystem=fs, partitioning=None)
-            for keys, ids in zip(table.column("key").chunks, table.column("ids").chunks):
-                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-                for i, k in enumerate(keys.to_pylist()):
-                    out[k] = flat[ends[i] : ends[i + 1]]
-    return out
+#: Hashes that a task gathers before it passes them on, each once.
+_GATHER = 1 << 20
+
+
+def _chunked(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of a text, where its chunks begin, and its end, and their hashes."""
+    raw = text.encode()
+    buf = np.frombuffer(raw, np.uint8)
+    at = cuts(buf)
+    return raw, at, chunk_hashes(buf, at)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -154,82 +148,94 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     them gave the text's very bytes.
 
     A null text has null in all three; an empty one has no tokens. Repeated rows and null ids are kept. The
-    strings of special tokens are ordinary text. Of other columns, whatever their names, nothing depends. `vocabulary` must be readable
+    strings of special tokens are ordinary text. An empty table gives an empty one. Of other columns, whatever their names, nothing depends. `vocabulary` must be readable
     on every executor. Ids must be integers.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def hashes(batches):
+        part, held, size = TaskContext.get().partitionId(), [np.zeros(0, np.uint64)], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int32)), pa.array(np.full(len(h), part, np.int32))], ["h", "n", "part"])
+
         for b in pieces(batches, 0):
-            h = []
-            for t in b.column(0).to_pylist():
-                if t:
-                    buf = np.frombuffer(t.encode(), np.uint8)
-                    h.append(chunk_hashes(buf, cuts(buf)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], ["h"])
-
-    several = rows.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = spark.sparkContext.broadcast(bloom(written(several, "chunks")))
-
-    def seen(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        raw = text.encode()
-        buf = np.frombuffer(raw, np.uint8)
-        at = cuts(buf)
-        return raw, at, Bloom(shared.value).has(chunk_hashes(buf, at))
-
-    def chunks(batches):
-        """(chunk, part): the shared chunks of each partition, once each."""
-        part, known = TaskContext.get().partitionId(), set()
-        for b in pieces(batches, 0):
-            out = []
-            for t in b.column(0).to_pylist():
-                if t:
-                    raw, at, has = seen(t)
-                    for i in np.flatnonzero(has).tolist():
-                        c = raw[at[i] : at[i + 1]]
-                        if (k := hash(c)) not in known:  # a collision leaves a chunk to be encoded where it is
-                            known.add(k)
-                            out.append(c.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([part] * len(out), pa.int32())], ["chunk", "part"])
+            new = [_chunked(t)[2] for t in b.column(0).to_pylist() if t]
+            held += new
+            size += sum(map(len, new))
+            if size > _GATHER:
+                yield out()
+                held, size = [np.zeros(0, np.uint64)], 0
+        yield out()
+
+    texts = rows.select("text")
+    of = W.partitionBy("h")  # a hash has a row or a few from each partition, at most
+    held = texts.mapInArrow(hashes, "h long, n int, part int").select("h", "part", F.sum("n").over(of).alias("n"), F.min("part").over(of).alias("owner")).where("n > 1")
+    held = written(held.select("h", "part", "owner").distinct(), "chunks")
+    owned = Routed(spark, held.where("part = owner").select("part", "h"), "owned")
 
     def once(batches):
-        enc = encoding(vocabulary)
+        enc, mine = encoding(vocabulary), owned.mine()
+        if mine is None:
+            return
+        todo = np.sort(mine.column("h").to_numpy())
+        new = np.ones(len(todo), bool)
         for b in pieces(batches, 0):
-            texts = b.column(0).to_pylist()
-            ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(t.encode()) for t in texts], pa.binary()), _lists(ids), b.column(1)], ["key", "ids", "parts"])
-
-    codes = scratch(spark, "codes")
-    by_chunk = rows.select("text").mapInArrow(chunks, "chunk string, part int").groupBy("chunk").agg(F.collect_list("part").alias("parts"))
-    made = by_chunk.mapInArrow(once, "key binary, ids array<int>, parts array<int>").select("key", "ids", F.explode("parts").alias("part"))
-    made.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(codes)
+            h, keys, ids = [], [], []
+            for t in b.column(0).to_pylist():
+                if t:
+                    raw, at, c = _chunked(t)
+                    i = np.minimum(np.searchsorted(todo, signed(c)), len(todo) - 1)
+                    for j in np.flatnonzero((todo[i] == signed(c)) & new[i]).tolist():
+                        if new[i[j]]:
+                            new[i[j]] = False
+                            x = raw[at[j] : at[j + 1]]
+                            h.append(int(todo[i[j]]))
+                            keys.append(_key(x))
+                            ids.append(enc.encode_to_numpy(x.decode(), disallowed_special=()))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(keys, pa.binary()), _lists(ids)], ["h", "key", "ids"])
+
+    made = texts.mapInArrow(once, "h long, key binary, ids array<int>")
+    codes = Routed(spark, held.select("h", "part").join(made, "h"), "codes")
 
     def assembled(batches):
-        enc, have = encoding(vocabulary), _codes(codes, TaskContext.get().partitionId())
+        enc, mine = encoding(vocabulary), codes.mine()
+        have = np.zeros(0, np.int64)
+        if mine is not None:
+            mine = mine.sort_by("h").combine_chunks()
+            have, keys, ids = mine.column("h").to_numpy(), mine.column("key").combine_chunks(), mine.column("ids").combine_chunks()
+            keys, flat, ends = keys.to_pylist(), ids.values.to_numpy(), ids.offsets.to_numpy()
         for b in pieces(batches, 1):
             out = []
             for t in b.column(1).to_pylist():
                 if not t:
                     out.append(np.zeros(0, np.uint32))
                     continue
-                raw, at, has = seen(t)
-                found = [have.get(_key(raw[at[i] : at[i + 1]])) if has[i] else None for i in range(len(has))] if has.any() else []
-                if not any(x is not None for x in found):
+                if not len(have):
+                    out.append(enc.encode_to_numpy(t, disallowed_special=()))
+                    continue
+                raw, at, c = _chunked(t)
+                i = np.minimum(np.searchsorted(have, signed(c)), len(have) - 1)
+                has = have[i] == signed(c)
+                # equal hashes of other content fail here, and are encoded with the text between
+                for j in np.flatnonzero(has).tolist():
+                    has[j] = keys[i[j]] == _key(raw[at[j] : at[j + 1]])
+                if not has.any():
                     out.append(enc.encode_to_numpy(t, disallowed_special=()))
                     continue
-                parts, i = [], 0
-                while i < len(found):
-                    j = i + 1
-                    if found[i] is None:
-                        while j < len(found) and found[j] is None:
-                            j += 1
-                        parts.append(enc.encode_ordinary(raw[at[i] : at[j]].decode()))
+                parts, j = [], 0
+                while j < len(has):
+                    e = j + 1
+                    if has[j]:
+                        parts.append(flat[ends[i[j]] : ends[i[j] + 1]].tolist())
                     else:
-                        parts.append(found[i].tolist())
-                    i = j
-                x = joined(enc, parts)
-                out.append(np.array(x, np.uint32))
+                        while e < len(has) and not has[e]:
+                            e += 1
+                        parts.append(enc.encode_ordinary(raw[at[j] : at[e]].decode()))
+                    j = e
+                out.append(np.array(joined(enc, parts), np.uint32))
             texts = b.column(1).to_pylist()
             ok = [None if t is None else enc.decode_bytes(x.tolist()) == t.encode() for t, x in zip(texts, out)]
             yield _result(b.column(0).to_pylist(), out, ok, [t is None for t in texts])
@@ -262,4 +268,5 @@ def decoded(vocabulary: str = VOCABULARY):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoded() of all documents."""
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))

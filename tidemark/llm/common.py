@@ -7,13 +7,19 @@ bytes with a running sum, so that the hash of any word is two look-ups and a mul
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import shared_dir
 
 _own: list[tuple[SparkSession, str]] = []
 
@@ -21,22 +27,6 @@ _own: list[tuple[SparkSession, str]] = []
 # --- the shared folder ---------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset and everything runs in one
-    process (tests), a temporary folder is made; on a cluster without the setting this raises ValueError."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if set_to:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(set_to)
-        return set_to.rstrip("/")
-    master = sc.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -53,12 +43,20 @@ def _clean() -> None:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; deleted when this process ends."""
-    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its file system's scheme; deleted when this process ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}")
+    path = p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).makeQualified(p).toString()
     _own.append((spark, path))
     return path
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Hadoop writes it, and the path in it, for Python tasks."""
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: the lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
@@ -73,6 +71,40 @@ def discard(df: DataFrame) -> None:
             remove(df.sparkSession, f)
 
 
+class Routed:
+    """What each partition of an input is to know: a table with an int column `part`, in files cut by ranges of it. A task reads
+    its own rows from the one or two files that hold them, so nothing is broadcast, however much there is."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame, what: str) -> None:
+        self.path = scratch(spark, what)
+        self.schema = df.schema
+        df.repartitionByRange("part").sortWithinPartitions("part").write.option("parquet.block.size", 1 << 20).parquet(self.path)
+        at = spark.read.schema(df.schema).parquet(self.path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+        self.files = [(r["lo"], r["hi"], r["file"]) for r in at.collect()]  # a row for each file
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "files": self.files}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
+
+    def mine(self) -> pa.Table | None:
+        """The rows of the partition that this task works on; None if there are none."""
+        part, found = TaskContext.get().partitionId(), []
+        for lo, hi, name in self.files:
+            if lo <= part <= hi:
+                fs, root = opened(self.path)
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    file = pq.ParquetFile(f)
+                    at = file.schema_arrow.names.index("part")
+                    for g in range(file.num_row_groups):
+                        s = file.metadata.row_group(g).column(at).statistics
+                        if s is None or not s.has_min_max or s.min <= part <= s.max:
+                            t = file.read_row_group(g)
+                            found.append(t.filter(pa.compute.equal(t.column("part"), part)))
+        return pa.concat_tables(found).combine_chunks() if found and sum(map(len, found)) else None
+
+
 def fresh(names: Iterable[str], base: str) -> str:
     """A column name that clashes with none of names (case doesn't count)."""
     have = {n.lower() for n in names}
@@ -166,10 +198,36 @@ _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
+#: Scripts without blanks between words, as first and last UTF-8 bytes: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo, Han, Yi.
+_UNSPACED = [
+    (b"\xe0\xb8\x80", b"\xe0\xbf\xbf"), (b"\xe1\x80\x80", b"\xe1\x82\x9f"), (b"\xe1\x9e\x80", b"\xe1\x9f\xbf"), (b"\xe3\x80\x85", b"\xe3\x80\x87"), (b"\xe3\x81\x80", b"\xe3\x84\xaf"), (b"\xe3\x86\xa0", b"\xe3\x86\xbf"),
+    (b"\xe3\x87\xb0", b"\xe3\x87\xbf"), (b"\xe3\x90\x80", b"\xe9\xbf\xbf"), (b"\xea\x80\x80", b"\xea\x93\x8f"), (b"\xef\xa4\x80", b"\xef\xab\xbf"), (b"\xef\xbd\xa6", b"\xef\xbe\x9f"), (b"\xf0\x9b\x80", b"\xf0\x9b\x85"), (b"\xf0\xa0\x80", b"\xf0\xbf\xbf"),
+]
+_LOW, _HIGH = (np.array([int.from_bytes(x[i], "big") for x in _UNSPACED]) for i in (0, 1))
+
+
+def unspaced(buf: np.ndarray) -> np.ndarray | None:
+    """For UTF-8 bytes whether a character of such a script begins or has just ended at each of the len(buf) + 1 places; None if
+    there is none."""
+    lead = np.flatnonzero(buf[:-2] >= 0xE0) if len(buf) > 2 else np.zeros(0, np.int64)
+    if not len(lead):
+        return None
+    x = buf[lead].astype(np.int64) << 16 | buf[lead + 1].astype(np.int64) << 8 | buf[lead + 2]
+    i = np.searchsorted(_LOW, x, side="right") - 1
+    lead = lead[(i >= 0) & (x <= _HIGH[np.maximum(i, 0)])]
+    if not len(lead):
+        return None
+    out = np.zeros(len(buf) + 1, bool)
+    out[lead] = True
+    out[lead + np.where(buf[lead] >= 0xF0, 4, 3)] = True
+    return out
+
+
 class Words:
     """The words of several texts, one after the other: hash, first and past-the-end byte, and doc[i]:doc[i + 1] are
     the words of text i. plain: words are what white space ([ \\t\\n\\v\\f\\r]) separates, as they stand. Otherwise texts
-    are lower-cased and words are runs of a-z, 0-9 and everything beyond ASCII."""
+    are lower-cased and words are runs of a-z, 0-9 and everything beyond ASCII. Each character of a script that puts no
+    blanks between words is a word."""
 
     def __init__(self, texts: list[str | None], plain: bool = False) -> None:
         self.parts = [(t or "").encode() if plain else (t or "").lower().encode() for t in texts]
@@ -180,8 +238,13 @@ class Words:
         gap = np.empty(len(buf) + 2, bool)
         gap[0] = gap[-1] = True
         np.take(table, buf, out=gap[1:-1])
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        self.start, self.end = edge[::2], edge[1::2]
+        single = unspaced(buf)
+        if single is None:
+            edge = np.flatnonzero(gap[1:] != gap[:-1])
+            self.start, self.end = edge[::2], edge[1::2]
+        else:
+            self.start = np.flatnonzero(~gap[1:] & (gap[:-1] | single))
+            self.end = np.flatnonzero(~gap[:-1] & (gap[1:] | single))
         h, at = np.empty(len(self.start), np.uint64), 0
         while at < len(h):  # in steps, to bound memory for one long text
             to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + _STEP, side="right")))
@@ -206,43 +269,3 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
-
-
-# --- a Bloom filter that never grows beyond its bound ----------------------------------------------------------
-
-
-class Bloom:
-    """A set of 64-bit hashes with two bits for each. Its size follows the number of hashes up to `most` bits and
-    stays there: beyond, it lets more through. Its users only ever spare work by it, so results don't depend on it."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits, self.mask = bits, U(len(bits) * 8 - 1)
-
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (h & self.mask).astype(np.int64), (h >> U(37) & self.mask).astype(np.int64)
-
-    def add(self, h: np.ndarray) -> None:
-        for p in self.places(h):
-            np.bitwise_or.at(self.bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        a, b = self.places(h)
-        return ((self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
-
-
-def bloom(hashes: DataFrame, most: int = 1 << 27) -> np.ndarray:
-    """The bits of a Bloom filter of the one long column of `hashes`; 16 MB at most by default. Partitions make
-    partial filters, which are united."""
-    n = hashes.count()
-    size = 1 << max(16, min(most.bit_length() - 1, (12 * max(n, 1)).bit_length()))
-
-    def part(batches):
-        f = Bloom(np.zeros(size // 8, np.uint8))
-        for b in batches:
-            f.add(b.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([f.bits.tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(size // 8, np.uint8)
-    for r in hashes.coalesce(8).mapInArrow(part, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r[0], np.uint8)
-    return out

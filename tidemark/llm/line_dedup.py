@@ -2,20 +2,20 @@
 
 Lines are compared by the sets of 8-byte shingles of their lower-case letters and digits. Signatures of BANDS * ROWS minima
 are cut into bands; lines that agree in a whole band are candidates, verified by exact Jaccard similarity. Of each
-connected component one line stays, the first by document id and line number. Equal lines are one node from
-the start, so boilerplate costs no pairs.
+connected component one line stays, the first by document id and line number. Equal lines, told by 128 bits, are one node from
+the start, so boilerplate costs no pairs. For verification each candidate line is read where it was first seen; no text is shuffled to find it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE, U, Bloom, bloom, fresh, lists, mix, pieces, powers, ranges, signed, written
-from .verify import verified
+from .common import BYTE, U, Routed, fresh, lists, mix, pieces, powers, ranges, signed, written
+from .verify import candidates, confirmed
 
 #: Bytes in a shingle; minima in a band and bands; Jaccard similarity from which lines are alike. At this threshold a pair is
 #: found with a probability of 0.978, at 0.85 of 0.999.
@@ -29,7 +29,7 @@ _REMEMBER = 1 << 20
 
 
 class Lines:
-    """The lines of texts: kept bytes, each line's first and past-the-end kept byte, digest, text number and number."""
+    """The lines of texts: kept bytes, each line's first and past-the-end kept byte, digest in two parts, text number and number."""
 
     def __init__(self, texts: list[str | None]) -> None:
         parts = [(t or "").lower().encode() for t in texts]
@@ -46,7 +46,8 @@ class Lines:
         self.number = np.arange(len(ends)) - n[self.text]
         some = self.end > self.start  # lines without letters and digits are left alone
         self.start, self.end, self.text, self.number = self.start[some], self.end[some], self.text[some], self.number[some]
-        self.digest = ranges(BYTE[self.kept], self.start, self.end)
+        x = BYTE[self.kept]
+        self.digest, self.second = ranges(x, self.start, self.end), ranges(x, self.start, self.end, 0xD1342543DE82EF95)
 
     def line(self, i: int) -> bytes:
         return self.kept[self.start[i] : self.end[i]].tobytes()
@@ -99,75 +100,108 @@ def bands(x: Lines, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, line_no, keep_id, keep_line_no): every line that goes, counted from 0, and the line that stays for it.
-
-    Lines without a letter or digit are left alone, and so are rows whose id or text is null. Rows repeated
-    under one id keep or lose the same lines. Of other columns, whatever their names, nothing depends. Ids must be
-    integers. Lines count as equal by 64 bits of their letters and digits."""
-    spark = docs.sparkSession
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(comp, node, text) of the wanted lines, (comp, node, n1, n2, part, row), written. Every input partition is told which of its rows hold wanted
+    lines; should partitions come out otherwise than before, the rest is looked for in all rows."""
+    spark, kinds = rows.sparkSession, "comp long, node long, text string"
+
+    def found(texts: list[str], of: dict) -> pa.RecordBatch:
+        x = Lines(texts)
+        got = {k: (*of[k], x.line(i).decode()) for i, k in enumerate(zip(signed(x.digest).tolist(), signed(x.second).tolist())) if k in of}
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got.values()], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["comp", "node", "text"])
+
+    def mapped(route: Routed, whole: bool):
+        def run(batches):
+            mine, at = route.mine(), 0
+            if mine is None:
+                return
+            of = {k[:2]: k[2:] for k in zip(*(mine.column(c).to_pylist() for c in ("n1", "n2", "comp", "node")))}
+            wanted_rows = np.unique(mine.column("row").to_numpy())
+            for b in batches:
+                here = np.isin(np.arange(at, at + b.num_rows), wanted_rows) if not whole else np.ones(b.num_rows, bool)
+                at += b.num_rows
+                for x in pieces([b.filter(pa.array(here))], 0):
+                    yield found(x.column(0).to_pylist(), of)
+
+        return run
+
+    texts = rows.select("text")
+    got = written(texts.mapInArrow(mapped(Routed(spark, wanted, "places"), False), kinds), "texts")
+    rest = wanted.join(got, "node", "left_anti")
+    while not rest.isEmpty():  # every partition is told of all that is left, in rounds of bounded size
+        some = written(rest.limit(_REMEMBER).crossJoin(F.broadcast(texts.select(F.spark_partition_id().alias("p")).distinct())).withColumn("part", F.col("p")).drop("p"), "rest")
+        more = texts.mapInArrow(mapped(Routed(spark, some, "places"), True), kinds)
+        got = written(got.unionByName(more), "texts")
+        rest = wanted.join(got, "node", "left_anti")
+    return got
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, x, line_no, keep): the lines of the groups of two or more. x: a hash of the text; keep: the (id, line_no, x) that stays."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).dropna()
 
     def signatures(batches):
         known: set[int] = set()
+        part, at = TaskContext.get().partitionId(), 0
         for b in pieces(batches, 1):
             x = Lines(b.column(1).to_pylist())
-            d = signed(x.digest)
             new = []
-            for i, k in enumerate(d.tolist()):
+            for i, k in enumerate((x.digest ^ mix(x.second)).tolist()):
                 if k not in known:
                     known.add(k)
                     new.append(i)
             if len(known) > _REMEMBER:
                 known.clear()
             new = np.array(new, np.int64)
-            n = np.zeros(len(d), np.int64)
+            n = np.zeros(len(x.text), np.int64)
             n[new] = BANDS
             keys = lists(signed(bands(x, new).reshape(-1)) if len(new) else np.zeros(0, np.int64), n, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.text)), pa.array(x.number, pa.int32()), pa.array(d), keys], ["id", "line_no", "node", "bands"])
-
-    lines = written(rows.mapInArrow(signatures, "id long, line_no int, node long, bands array<long>"), "lines")
-    near = W.partitionBy("key")
-    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "node")
-    held = keyed.withColumn("lo", F.min("node").over(near)).withColumn("hi", F.max("node").over(near)).where("lo <> hi").select("key", "node").distinct()
-    buckets = written(held, "buckets")
-
-    def texts(nodes: DataFrame) -> DataFrame:
-        bits = spark.sparkContext.broadcast(bloom(nodes))
-
-        def wanted(batches):
-            may, known = Bloom(bits.value), set()
-            for b in pieces(batches, 0):
-                x = Lines(b.column(0).to_pylist())
-                hit = np.flatnonzero(may.has(x.digest))
-                new = []
-                for i, k in zip(hit.tolist(), signed(x.digest[hit]).tolist()):
-                    if k not in known:
-                        known.add(k)
-                        new.append((k, x.line(i).decode()))
-                if len(known) > _REMEMBER:
-                    known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.int64()), pa.array([t for _, t in new], pa.string())], ["node", "text"])
-
-        return rows.select("text").mapInArrow(wanted, "node long, text string")
-
-    roots = verified(buckets, texts, sets, threshold)
-    of = lines.select("id", "line_no", "node").join(roots, "node", "left").select("id", "line_no", F.coalesce("root", "node").alias("g"))
-    first = of.groupBy("g").agg(F.min(F.struct("id", "line_no")).alias("k"), F.max(F.struct("id", "line_no")).alias("l")).where("k <> l").select("g", "k")
+            own, place = pa.array(x.text), [pa.array(np.full(len(n), part, np.int32)), pa.array(x.text + at)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), pa.array(x.number, pa.int32()), pa.array(signed(x.digest)), pa.array(signed(x.second)), *place, keys], ["id", "x", "line_no", "n1", "n2", "part", "row", "bands"])
+            at += b.num_rows
+
+    kinds = "id long, x long, line_no int, n1 long, n2 long, part int, row long, bands array<long>"
+    lines = written(rows.select("id", "text", F.xxhash64("text").alias("x")).mapInArrow(signatures, kinds), "lines")
+    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "n1", "n2", F.struct("part", "row").alias("at"))
+    keyed = keyed.groupBy("key", "n1", "n2").agg(F.min("at").alias("at"))
+    near = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    held = written(keyed.join(near, "key"), "held")
+    # numbers once written: 64 bits of a digest wouldn't tell all lines apart
+    nodes = written(held.groupBy("n1", "n2").agg(F.min("at").alias("at")).select(F.monotonically_increasing_id().alias("node"), "n1", "n2", "at.*"), "nodes")
+    buckets = written(held.join(nodes, ["n1", "n2"]).select("key", "node"), "buckets")
+
+    wanted = written(candidates(buckets).join(nodes, "node"), "wanted")
+    roots = written(confirmed(_texts(rows, wanted), buckets, sets, threshold), "roots")
+    of = [wanted.select(F.col("node").alias(n), F.col("n1").alias(f"{p}1"), F.col("n2").alias(f"{p}2")) for n, p in (("node", "n"), ("root", "g"))]
+    roots = roots.join(of[0], "node").join(of[1], "root").select("n1", "n2", "g1", "g2")
+    of = lines.select("id", "x", "line_no", "n1", "n2").join(roots, ["n1", "n2"], "left").select("id", "x", "line_no", F.coalesce("g1", "n1").alias("g1"), F.coalesce("g2", "n2").alias("g2"))
+    row = F.struct("id", "line_no", "x")
+    first = of.groupBy("g1", "g2").agg(F.min(row).alias("keep"), F.max(row).alias("hi")).where("keep <> hi").drop("hi")
+    return of.join(first, ["g1", "g2"]).select("id", "x", "line_no", "keep", (row != F.col("keep")).alias("goes"))
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, line_no, keep_id, keep_line_no): every line that goes, counted from 0, and the line that stays for it.
+
+    Lines without a letter or digit are left alone, and so are rows whose id or text is null; empty texts have no lines. Rows that repeat both id and text
+    keep or lose the same lines; the lines of several texts under one id aren't told apart here, but are by keep_one. Of other columns, whatever their names, nothing depends. Ids must be
+    integers. Lines are equal by 128 bits of their letters and digits. An empty table gives an empty one."""
     kid, kline = fresh([id_col, "line_no"], "keep_id"), "keep_line_no"
-    out = of.join(first, "g").where("struct(id, line_no) <> k")
-    return out.select(F.col("id").alias(id_col), "line_no", F.col("k.id").alias(kid), F.col("k.line_no").alias(kline)).distinct()
+    out = _lines(docs, id_col, text_col, threshold).where("id <> keep.id or line_no <> keep.line_no")
+    return out.select(F.col("id").alias(id_col), "line_no", F.col("keep.id").alias(kid), F.col("keep.line_no").alias(kline)).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the duplicate lines taken out of their texts; all rows and other columns stay as they are."""
-    gone, i = fresh(docs.columns, "_gone"), fresh(docs.columns, "_id")
-    out = duplicates(docs, id_col, text_col, threshold).groupBy(F.col(id_col).alias(i)).agg(F.collect_set("line_no").alias(gone))
+    """docs with the duplicate lines taken out of their texts; all rows and other columns stay as they are. Texts are told apart by their
+    content, too, where an id repeats; rows that repeat both id and text are one document."""
+    gone, i, x = (fresh(docs.columns, n) for n in ("_gone", "_id", "_x"))
+    out = _lines(docs, id_col, text_col, threshold).where("goes").groupBy(F.col("id").alias(i), F.col("x").alias(x)).agg(F.collect_set("line_no").alias(gone))
     text = F.col(f"`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, n: ~F.array_contains(F.col(gone), n)), "\n")
-    both = docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col(i), "left")
+    both = docs.join(out, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(x)), "left")
     return both.select(*[F.when(F.col(gone).isNull(), text).otherwise(kept).alias(n) if n == text_col else F.col(f"`{n}`") for n in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """duplicates() of all documents."""
     return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,11 +1,12 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 A document's set holds its word 3-shingles; its sketch the K smallest of their hashes. Inverted lists (retained
-value -> documents) generate overlaps. Only the rarest values of each sketch are listed: two sketches
-that share at least OVERLAP values share one of the first n - OVERLAP + 1 in any common order, so with the rarest first no
-qualifying pair is lost and lists of boilerplate aren't paired. Lists of the same documents count once. Within a list
+value -> documents) generate overlaps. Only the rarest values of each sketch are listed: two sketches of n values
+that share m or more share one of the first n - m + 1 in any common order, so with the rarest first lists of boilerplate
+aren't paired. m is what similar sets share but for SLACK standard deviations, so a qualifying pair can be lost, rarely.
+Lists of the same documents count once. Within a list
 similarities are estimated from the bottom K of the union of two sketches; documents that are linked by estimates not
-clearly below the threshold are a bucket, whose pairs are verified by their exact Jaccard similarity. A pair that is linked already is not estimated again, so a list
+clearly below the threshold are a bucket, whose documents are verified by their exact Jaccard similarity. A pair that is linked already is not estimated again, so a list
 of n copies costs about n estimates, and nothing that is shuffled grows with the number of pairs.
 """
 
@@ -13,12 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, bloom, fresh, grams, lists, mix, pieces, signed, written
-from .verify import positive, verified
+from .common import Routed, Words, fresh, grams, lists, mix, pieces, signed, written
+from .verify import candidates, confirmed, positive
 
 #: Words in a shingle, values in a sketch, Jaccard similarity from which two documents are near duplicates, and
 #: standard deviations of slack in the two filters before the exact check.
@@ -48,12 +50,9 @@ def _digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def digest(texts: list[str]) -> np.ndarray:
-    return signed(_digests(Words(texts))[0])
-
-
 def _sketch(k: int):
     def run(batches):
+        part = TaskContext.get().partitionId()
         for b in pieces(batches, 1):
             w = Words(b.column(1).to_pylist())
             d1, d2 = _digests(w)
@@ -69,7 +68,8 @@ def _sketch(k: int):
                     low = np.unique(g)
                 rows.append(low[:k])
             n = np.array([len(r) for r in rows])
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(d1)), pa.array(signed(d2)), lists(np.concatenate([*rows, np.zeros(0, np.int64)]), n, pa.int64())], ["id", "d1", "d2", "s"])
+            own = [b.column(0), b.column(2), pa.array(np.full(len(n), part, np.int32)), pa.array(signed(d1)), pa.array(signed(d2))]
+            out = pa.RecordBatch.from_arrays([*own, lists(np.concatenate([*rows, np.zeros(0, np.int64)]), n, pa.int64())], ["id", "x", "part", "d1", "d2", "s"])
             yield out.filter(pa.array(has))
 
     return run
@@ -114,43 +114,78 @@ def _buckets(k: int, threshold: float, slack: float):
     """Inverted lists, one after the other, to buckets."""
 
     def run(batches):
-        values, nodes, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, k), np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, k), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [none]  # of the list that may go on
 
         def done(v, nodes, rows):
             new = np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v)) if len(v) else np.zeros(1, np.int64)
-            keys, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(new[:-1].tolist(), new[1:].tolist()):
                 for i, g in enumerate(linked(rows[a:b], threshold, slack)):
                     keys.append(np.full(len(g), mix(np.array([v[a]]).view(np.uint64) + np.uint64(i)).view(np.int64)[0]))
-                    held.append(nodes[a:b][g])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(held))], ["key", "node"])
+                    members.append(nodes[a:b][g])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], ["key", "node"])
 
         for b in batches:
             s = b.column(2)
             n = np.diff(s.offsets.to_numpy())
             m = np.full((len(n), k), _NONE, np.int64)
             m[np.arange(k) < n[:, None]] = s.flatten().to_numpy()
-            values, nodes, rows = np.concatenate([values, b.column(0).to_numpy()]), np.concatenate([nodes, b.column(1).to_numpy()]), np.concatenate([rows, m])
-            at = int(np.searchsorted(values, values[-1])) if len(values) else 0  # the last list may go on
-            if at:
-                yield done(values[:at], nodes[:at], rows[:at])
-                values, nodes, rows = values[at:], nodes[at:], rows[at:]
-        yield done(values, nodes, rows)
+            values, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = int(np.searchsorted(values, values[-1])) if len(values) else 0
+            last = held[-1][0]
+            if at or len(last) and len(values) and last[-1] != values[0]:  # what is held is whole
+                yield done(*map(np.concatenate, zip(*held, (values[:at], nodes[:at], m[:at]))))
+                held = [none]
+            held.append((values[at:], nodes[at:], m[at:]))
+        yield done(*map(np.concatenate, zip(*held)))
 
     return run
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
-    """(id, keep_id): every document that is a near duplicate, with the document of its group that stays, the one of the
-    smallest id. Groups are the components of the pairs whose Jaccard similarity is `threshold` or more.
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(comp, node, text) of the wanted documents, (comp, node, d1, d2, id, part), written. Every input partition is told which of its documents are
+    wanted, so texts aren't shuffled to find them; should partitions come out otherwise than before, the rest is found by a join."""
+    route = Routed(rows.sparkSession, wanted, "places")
 
-    Rows with a null id or text, and texts without words, are never duplicates. Rows repeated under the same id
-    aren't duplicates of each other. Of other columns, whatever their names, nothing depends. Ids must be integers.
-    """
-    keep = fresh([id_col], "keep_id")
+    def right(b: pa.RecordBatch, of: dict) -> pa.RecordBatch:
+        texts = b.column(1).to_pylist()
+        d1, d2 = _digests(Words(texts))
+        got = [(*of[k], t) for k, t in zip(zip(b.column(0).to_pylist(), signed(d1).tolist(), signed(d2).tolist()), texts) if k in of]
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["comp", "node", "text"])
+
+    def here(batches):
+        mine = route.mine()
+        if mine is None:
+            return
+        of = {k[:3]: k[3:] for k in zip(*(mine.column(c).to_pylist() for c in ("id", "d1", "d2", "comp", "node")))}
+        ids = np.unique(mine.column("id").to_numpy())
+        for b in batches:
+            for x in pieces([b.filter(pa.array(np.isin(b.column(0).to_numpy(), ids)))], 1):
+                yield right(x, of)
+
+    def joined(batches):
+        for b in pieces(batches, 1):
+            c = [b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
+            yield right(b, {k[:3]: k[3:] for k in zip(*c)})
+
+    kinds = "comp long, node long, text string"
+    got = written(rows.select("id", "text").mapInArrow(here, kinds), "texts")
+    rest = written(wanted.join(got, "node", "left_anti"), "rest")
+    if rest.isEmpty():
+        return got
+    more = rows.join(rest, "id").select("id", "text", "d1", "d2", "comp", "node").mapInArrow(joined, kinds)
+    return written(got.unionByName(more), "texts")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, slack: float) -> DataFrame:
+    """(id, x, keep, goes): the rows of the groups of two or more documents. x: a hash of the text; keep: the (id, d1, d2, x) that stays, d1 and d2 being a digest
+    of its words."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).dropna()
-    sk = written(rows.mapInArrow(_sketch(k), "id long, d1 long, d2 long, s array<long>"), "sketches")
-    reps = written(sk.groupBy("d1", "d2").agg(F.min(F.struct("id", "s")).alias("r")).select(F.col("d1").alias("node"), "r.id", "r.s"), "nodes")
+    sk = written(rows.select("id", "text", F.xxhash64("text").alias("x")).mapInArrow(_sketch(k), "id long, x long, part int, d1 long, d2 long, s array<long>"), "sketches")
+    # numbers once written: 64 bits of a digest wouldn't tell all nodes apart
+    reps = sk.groupBy("d1", "d2").agg(F.min(F.struct("id", "part", "s")).alias("r")).select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "r.*")
+    reps = written(reps, "nodes")
 
     posts = reps.select("node", F.size("s").alias("n"), F.explode("s").alias("v"))
     counts = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
@@ -165,30 +200,42 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = first.join(lists_, "v", "left_semi").join(reps.select("node", "s"), "node").select("v", "node", "s")
     buckets = written(held.repartition("v").sortWithinPartitions("v").mapInArrow(_buckets(k, threshold, slack), "key long, node long"), "buckets")
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        wanted = written(reps.select("node", "id").join(nodes, "node"), "wanted")
-        bits = rows.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("id").alias("h"))))
+    wanted = written(candidates(buckets).join(reps.drop("s"), "node"), "wanted")
+    roots = written(confirmed(_texts(rows, wanted), buckets, shingles, threshold), "roots")
+    of = [wanted.select(F.col("node").alias(n), F.col("d1").alias(f"{p}1"), F.col("d2").alias(f"{p}2")) for n, p in (("node", "d"), ("root", "g"))]
+    roots = roots.join(of[0], "node").join(of[1], "root").select("d1", "d2", "g1", "g2")
+    group = sk.select("id", "x", "d1", "d2").join(roots, ["d1", "d2"], "left").select("id", "x", "d1", "d2", F.coalesce("g1", "d1").alias("g1"), F.coalesce("g2", "d2").alias("g2"))
+    row = F.struct("id", "d1", "d2", "x")
+    kept = group.groupBy("g1", "g2").agg(F.min(row).alias("keep"), F.max(row).alias("hi")).where("keep <> hi").drop("hi")
+    return group.join(kept, ["g1", "g2"]).select("id", "x", "keep", (row != F.col("keep")).alias("goes"))
 
-        @F.arrow_udf("boolean")
-        def may(h: pa.Array) -> pa.Array:
-            return pa.array(Bloom(bits.value).has(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-        return rows.where(may(F.xxhash64("id"))).join(wanted, "id").select("node", "text")
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, slack: float = SLACK) -> DataFrame:
+    """(id, keep_id): every document that is a near duplicate, with the document of its group that stays, the one of the
+    smallest id. Groups are the components of the pairs whose Jaccard similarity is `threshold` or more, so no pair joins two groups and membership
+    is the whole result.
 
-    roots = verified(buckets, texts, shingles, threshold, key=digest)
-    group = sk.select("id", "d1").join(roots.withColumnRenamed("node", "d1"), "d1", "left").select("id", F.coalesce("root", "d1").alias("g"))
-    kept = group.groupBy("g").agg(F.min("id").alias(keep), F.max("id").alias("hi")).where(f"{keep} <> hi").drop("hi")
-    return group.join(kept, "g").where(f"id <> {keep}").select(F.col("id").alias(id_col), keep).distinct()
+    Rows with a null id or text, and texts without words, are never duplicates. Rows repeated under the same id
+    aren't duplicates of each other here. Each character of a script without blanks is a word. Of other columns, whatever their names, nothing depends. An empty
+    table gives an empty one. Ids must be integers.
+    """
+    keep = fresh([id_col], "keep_id")
+    out = _groups(docs, id_col, text_col, threshold, k, slack).where("id <> keep.id")
+    return out.select(F.col("id").alias(id_col), F.col("keep.id").alias(keep)).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, but those of near duplicates; one document of each group stays. Rows with null ids stay."""
-    gone = fresh(docs.columns, "_gone")
-    out = duplicates(docs, id_col, text_col, threshold).select(F.col(id_col).alias(gone))
-    return docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
+    """The rows of docs, with all their columns, but those of near duplicates; one document of each group stays, of the smallest id, on ties
+    that of the smallest hash. Documents are told apart by id and text: of several texts under one id only near duplicates go; rows that repeat both are one document and stay
+    or go together. Rows with null ids or texts stay."""
+    gone, x = fresh(docs.columns, "_gone"), fresh(docs.columns, "_x")
+    out = _groups(docs, id_col, text_col, threshold, K, SLACK).where("goes")
+    out = out.select(F.col("id").alias(gone), F.col("x").alias(x)).distinct()
+    return docs.join(out, (F.col(f"`{id_col}`").cast("long") == F.col(gone)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(x)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """duplicates() of all documents."""
     return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bloom, U, Words, bloom, fresh, grams, lists, mix, pieces, signed, written
+from .common import Routed, U, Words, fresh, grams, lists, mix, pieces, signed, written
 
 #: Words in a repeat, at least; words in a gram; suffixes in a group, about.
 LEAST, GRAM, GROUP = 50, 25, 200_000
@@ -48,30 +49,67 @@ def _docs(texts: list[str], least: int, gram: int):
             yield k, w.hash[a:b], g, minima(g, least - gram + 1)
 
 
+#: Hashes that a task gathers before it passes them on, each once.
+_GATHER = 1 << 20
+
+
+def _seen(ids: np.ndarray, size: np.ndarray) -> int:
+    """A checksum of some rows, the sum of which tells whether a partition holds the same rows again."""
+    return int(mix(ids * U(0x9E3779B97F4A7C15) + size.astype(np.uint64)).sum(dtype=np.uint64))
+
+
+def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, list[str], int]:
+    ids, texts = b.column(0).to_numpy().view(np.uint64), b.column(1).to_pylist()
+    return ids, texts, _seen(ids, np.array([len(t) for t in texts], np.int64))
+
+
 def _prints(least: int, gram: int):
-    """The grams that are the minimum of some suffix, one for each place."""
+    """(v, n, part): the grams that are the minimum of some suffix, with their places in a partition; and, with n = 0, the partition's checksum."""
     width = least - gram + 1
     edge = np.zeros(width - 1, np.uint64)
 
     def run(batches):
-        for b in pieces(batches, 0):
-            out = [np.zeros(0, np.uint64)]
-            for _, _, g, m in _docs(b.column(0).to_pylist(), least, gram):
-                out.append(g[g == ~minima(~np.concatenate([edge, m, edge]), width)])  # the largest minimum around
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out)))], ["v"])
+        part, held, size, total = TaskContext.get().partitionId(), [], 0, 0
+
+        def out(v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(n.astype(np.int32)), pa.array(np.full(len(v), part, np.int32))], ["v", "n", "part"])
+
+        for b in pieces(batches, 1):
+            _, texts, sum_ = _rows(b)
+            total = total + sum_ & 0xFFFFFFFFFFFFFFFF
+            for _, _, g, m in _docs(texts, least, gram):
+                held.append(g[g == ~minima(~np.concatenate([edge, m, edge]), width)])  # the largest minimum around
+                size += len(held[-1])
+            if size > _GATHER:
+                yield out(*np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        if held:
+            yield out(*np.unique(np.concatenate(held), return_counts=True))
+        yield out(np.array([total], np.uint64), np.zeros(1))
 
     return run
 
 
-def _suffixes(bits, least: int, gram: int):
+#: What the second reading says if partitions don't hold the rows they held in the first.
+_OTHERWISE = "partitions came out otherwise than in the first reading"
+
+
+def _suffixes(route: Routed, least: int, gram: int):
+    """The suffixes whose first `least` words have a minimum that occurs twice in the corpus."""
+
     def run(batches):
-        may = Bloom(bits.value)
+        mine, total = route.mine(), 0
+        n = mine.column("n").to_numpy() if mine is not None else np.zeros(0, np.int32)
+        v = mine.column("v").to_numpy() if mine is not None else np.zeros(0, np.int64)
+        want, shared = set(v[n == 0].view(np.uint64).tolist()), np.sort(v[n > 0].view(np.uint64))
         for b in pieces(batches, 1):
-            ids, texts = b.column(0).to_numpy().view(np.uint64), b.column(1).to_pylist()
+            ids, texts, sum_ = _rows(b)
+            total = total + sum_ & 0xFFFFFFFFFFFFFFFF
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(4)]
-            for k, h, _, m in _docs(texts, least, gram):
+            for k, h, _, m in _docs(texts, least, gram) if len(shared) else ():
                 new = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-                i = np.flatnonzero(np.repeat(may.has(m[new]), np.diff(np.append(new, len(m)))))
+                may = shared[np.minimum(np.searchsorted(shared, m[new]), len(shared) - 1)] == m[new]
+                i = np.flatnonzero(np.repeat(may, np.diff(np.append(new, len(m)))))
                 if not len(i):
                     continue
                 tag = grams(h, len(h))[0] >> U(33)  # tells texts under the same id apart
@@ -81,10 +119,19 @@ def _suffixes(bits, least: int, gram: int):
                 for c, x in zip(cols, (grams(h, least)[i], np.full(len(i), ids[k]), tag << U(32) | i.astype(np.uint64), after << U(32) | before)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(c))) for c in cols], ["h", "id", "at", "nb"])
+        if total not in want and (total or want):
+            raise RuntimeError(_OTHERWISE)
 
     return run
 
 
+def _shared_suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """(h, id, at, nb) of the suffixes that may be repeats."""
+    prints = rows.mapInArrow(_prints(least, gram), "v long, n int, part int")
+    several = prints.withColumn("all", F.sum("n").over(W.partitionBy("v"))).where("all > 1 or n = 0").select("part", "v", "n")
+    return rows.mapInArrow(_suffixes(Routed(rows.sparkSession, several, "prints"), least, gram), "h long, id long, at long, nb long")
+
+
 def _branching(suffixes: DataFrame) -> DataFrame:
     """The suffixes at which something branches: l, different words before the class; r, different words after it; on,
     another suffix goes on with the same word; own, the first document of the class."""
@@ -260,11 +307,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     Rows with a null id or text, and texts of fewer words, have no repeats. Copies under one id count once. Words are compared by
     64 bits of the passages' hashes. Other columns don't matter, whatever their names. Ids must be integers."""
     gram = (least + 1) // 2 if gram is None else gram
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).dropna()
-    several = rows.select("text").mapInArrow(_prints(least, gram), "v long").groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    bits = spark.sparkContext.broadcast(bloom(written(several, "prints")))
-    at = written(_branching(rows.mapInArrow(_suffixes(bits, least, gram), "h long, id long, at long, nb long")), "branching")
+    try:
+        at = written(_branching(_shared_suffixes(rows, least, gram)), "branching")
+    except Exception as e:
+        if _OTHERWISE not in str(e):
+            raise
+        at = written(_branching(_shared_suffixes(written(rows, "rows"), least, gram)), "branching")  # from files partitions come out as they did
     large = at.where("l").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > group).select("own", F.ceil(F.col("n") / group).alias("parts"))
     part = F.when(F.col("parts").isNull(), F.xxhash64("own")).otherwise(F.xxhash64("own", F.pmod("h", F.col("parts"))))
     placed = at.join(large, "own", "left").select("id", "tag", "pos", "l", "r", "on", "h", "after", part.alias("part"))

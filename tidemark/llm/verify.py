@@ -1,10 +1,11 @@
 """Exact Jaccard verification of candidates, and the components of what it confirms.
 
-Candidates are buckets: each holds the nodes that may be alike. A pair within a bucket is an edge if the exact Jaccard
-similarity of its nodes' sets reaches the threshold. Candidate components are small, so each is brought to one place
-with its texts, where edges are checked one after the other against a union-find: a pair that is linked already
-needs no check, which keeps a group of n copies from costing n * n checks. Components whose texts are too large
-for one task's memory are verified pair by pair in joins instead; the result is the same.
+Candidates are buckets: each holds the nodes that may be alike. A pair of nodes is an edge if the exact Jaccard
+similarity of their sets reaches the threshold. Candidate components are small, so each is brought to one place
+with its texts. There one node after the other is compared with all nodes that are still open, by counting along inverted
+lists of set members; what it links is closed, so a group of n copies costs one comparison of n, and no pair is ever made. Components whose texts are too large for a
+task's memory go bucket by bucket, and buckets that are too large themselves by pairs of blocks of their nodes; what these find is united by
+distributed components. The result is the same.
 """
 
 from __future__ import annotations
@@ -16,159 +17,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, lists, pieces, written
+from .common import U, pieces, written
 from .components import components
 
-#: Bytes of text in a candidate component beyond which it is verified by joins.
+#: Bytes of text in a candidate component beyond which it is verified in parts.
 LARGE = 64 << 20
 
 Sets = Callable[[list[str]], list[np.ndarray]]
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sets, as sorted arrays without repeats, is `least` or more."""
-    n, m = len(a), len(b)
-    if n > m:
-        a, b, n, m = b, a, m, n
-    if n == 0 or n < least * m - 1e-9:
-        return False
-    i = np.searchsorted(b, a)
-    i[i == m] = 0
-    k = int((b[i] == a).sum())
-    return k >= least * (n + m - k) - 1e-9
-
-
-class _Group:
-    """One candidate component."""
-
-    def __init__(self, least: float) -> None:
-        self.least, self.sets, self.up = least, {}, {}
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def add(self, x: int, s: np.ndarray) -> None:
-        if x not in self.sets:
-            self.sets[x], self.up[x] = s, x
-
-    def bucket(self, members: list[int]) -> None:
-        by: dict[int, list[int]] = {}
-        for x in members:
-            if x in self.sets:
-                by.setdefault(self.root(x), []).append(x)
-        parts = list(by.values())
-        while len(parts) > 1:  # each part is linked in itself; only pairs between parts are open
-            first, rest = parts.pop(), []
-            i = 0
-            while i < len(first):  # first grows as parts join it
-                x, rest = first[i], []
-                for p in parts:
-                    if any(alike(self.sets[x], self.sets[y], self.least) for y in p):
-                        self.link(x, p[0])
-                        first.extend(p)
-                    else:
-                        rest.append(p)
-                parts, i = rest, i + 1
-
-    def link(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-
-    def found(self) -> tuple[list[int], list[int]]:
-        pairs = [(x, r) for x in self.up if (r := self.root(x)) != x]
-        return [p[0] for p in pairs], [p[1] for p in pairs]
-
-
-def _by_group(sets: Sets, least: float, key: Callable[[list[str]], np.ndarray] | None):
+def linked(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set (arrays without repeats) the number of the first set of its component; an edge is a Jaccard similarity of `least` or
+    more. An empty set is alone."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    root, open_ = np.arange(n), np.ones(n, bool)
+    _, at = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
+    count = np.bincount(at)
+    first = np.cumsum(count) - count
+    holder = np.repeat(np.arange(n), size)[np.argsort(at, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    left = n
+    for s in range(n):
+        if not open_[s]:
+            continue
+        open_[s], todo = False, [s]
+        left -= 1
+        for x in todo:  # grows as nodes are linked
+            if not left:
+                break
+            member = at[begin[x] : begin[x + 1]]
+            c = count[member]
+            i = np.repeat(first[member] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            k = np.bincount(holder[i], minlength=n)
+            new = np.flatnonzero(open_ & (k > 0) & (k >= least * (size[x] + size - k) - 1e-9))
+            open_[new], root[new] = False, s
+            left -= len(new)
+            todo += new.tolist()
+    return root
+
+
+def _groups(sets: Sets, least: float):
+    """(g, node, text), one group after the other, to (node, root) of the nodes but the first of each confirmed component."""
+
+    def found(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes = np.array(sorted(held), np.int64)
+        root = linked([held[x] for x in nodes.tolist()], least) if len(nodes) > 1 else np.arange(len(nodes))
+        moved = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["node", "root"])
+
     def run(batches):
-        now, group, at, members = None, _Group(least), None, []
-        for b in pieces(batches, 4):
-            comps, kinds, xs, ys = (b.column(i).to_numpy() for i in range(4))
-            texts = b.column(4)
-            mine = np.flatnonzero(kinds == 0)
-            own = texts.take(pa.array(mine)).to_pylist()
-            found = dict(zip(mine.tolist(), sets(own) if own else []))
-            if key is not None and own:  # rows under the same id with another text
-                for i, k in zip(mine.tolist(), key(own)):
-                    if int(k) != int(xs[i]):
-                        found.pop(i)
-            for i, (c, k, x, y) in enumerate(zip(comps.tolist(), kinds.tolist(), xs.tolist(), ys.tolist())):
-                if c != now:
-                    group.bucket(members)
-                    a, r = group.found()
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], ["node", "root"])
-                    now, group, at, members = c, _Group(least), None, []
-                if k == 0:
-                    if i in found:
-                        group.add(x, found[i])
-                else:
-                    if x != at:
-                        group.bucket(members)
-                        at, members = x, []
-                    members.append(y)
-        group.bucket(members)
-        a, r = group.found()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], ["node", "root"])
+        now, held = None, {}
+        for b in pieces(batches, 2):
+            for g, x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets(b.column(2).to_pylist())):
+                if g != now:
+                    yield found(held)
+                    now, held = g, {}
+                held.setdefault(x, s)
+        yield found(held)
 
     return run
 
 
-def _by_pair(nodes: DataFrame, buckets: DataFrame, sets: Sets, least: float) -> DataFrame:
-    """nodes (node, text), buckets (key, node): the same edges by joins, for components that don't fit a task."""
-
-    def arrays(batches):
-        for b in pieces(batches, 1):
-            s = sets(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(np.concatenate([*s, np.zeros(0, np.uint64)]).view(np.int64), np.array([len(x) for x in s], np.int64), pa.int64())], ["node", "s"])
+def _in_groups(rows: DataFrame, sets: Sets, least: float) -> DataFrame:
+    return rows.select("g", "node", "text").repartition("g").sortWithinPartitions("g", "node").mapInArrow(_groups(sets, least), "node long, root long")
 
-    s = nodes.mapInArrow(arrays, "node long, s array<long>")
-    a, b = (buckets.select("key", F.col("node").alias(x)) for x in "ab")
-    pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    k = F.size(F.array_intersect("sa", "sb"))
-    edges = pairs.where(k >= least * (F.size("sa") + F.size("sb") - k) - 1e-9).where(k > 0).select("a", "b")
-    return components(edges)
 
+def _in_parts(rows: DataFrame, buckets: DataFrame, sets: Sets, least: float, large: int) -> DataFrame:
+    """The same for components that don't fit a task: rows (node, text), buckets (key, node)."""
+    rows = written(rows.dropDuplicates(["node"]), "large")
+    held = buckets.join(rows.select("node", F.octet_length("text").alias("n")), "node")
+    blocks = held.groupBy("key").agg(F.when(F.sum("n") > large, F.ceil(F.sum("n") * 2 / large)).otherwise(1).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    with_ = held.join(blocks, "key").select("key", "node", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    g = with_.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "node")
+    return components(_in_groups(g.join(rows, "node"), sets, least))
 
-def verified(buckets: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float, key: Callable[[list[str]], np.ndarray] | None = None, large: int = LARGE) -> DataFrame:
-    """(node, root) for the nodes of the verified components but their smallest, which is root.
 
-    buckets: (key, node), written. texts: given the candidates as a table of one column node, returns their (node, text), repeats allowed;
-    with key, a row is only taken if key(text) is its node. sets: texts to sorted arrays of distinct hashes."""
+def candidates(buckets: DataFrame) -> DataFrame:
+    """(node, comp): the components of the nodes that share buckets, written; buckets: (key, node), written."""
     star = buckets.groupBy("key").agg(F.min("node").alias("m")).join(buckets, "key").where("node <> m").select("m", "node")
-    linked = components(star)
-    comp = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    comp = written(comp.withColumnRenamed("root", "comp"), "candidates")
-    rows = written(texts(comp.select("node")).join(comp, "node").select("comp", "node", "text"), "texts")
-    held = buckets.join(comp, "node").select("comp", "key", "node")
-    sizes = rows.groupBy("comp").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > large).select("comp")
+    linked_ = components(star)
+    comp = linked_.unionByName(linked_.select(F.col("root").alias("node"), "root").distinct())
+    return written(comp.withColumnRenamed("root", "comp"), "candidates")
+
+
+def confirmed(texts: DataFrame, buckets: DataFrame, sets: Sets, least: float, large: int = LARGE) -> DataFrame:
+    """(node, root) for the nodes of the verified components but their smallest, which is root. texts: (comp, node, text), written, repeats
+    allowed. sets: texts to arrays of distinct hashes."""
+    sizes = texts.groupBy("comp").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > large).select("comp")
     big = written(sizes, "large")
-    some = big.limit(1).count() > 0
-    cut = lambda df: df.join(big, "comp", "left_anti") if some else df
-    null = F.lit(None).cast("string")
-    all_ = cut(rows).select("comp", F.lit(0).alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "text").unionByName(cut(held).select("comp", F.lit(1).alias("kind"), F.col("key").alias("x"), F.col("node").alias("y"), null.alias("text")))
-    out = all_.repartition("comp").sortWithinPartitions("comp", "kind", "x", "y").mapInArrow(_by_group(sets, least, key), "node long, root long")
+    some = not big.isEmpty()
+    rows = texts.join(big, "comp", "left_anti") if some else texts
+    out = _in_groups(rows.withColumnRenamed("comp", "g"), sets, least)
     if some:
-        mine = rows.join(big, "comp", "left_semi").dropDuplicates(["node"]) if key is None else _keyed(rows.join(big, "comp", "left_semi"), key)
-        out = out.unionByName(_by_pair(mine.select("node", "text"), held.join(big, "comp", "left_semi").select("key", "node"), sets, least))
+        out = out.unionByName(_in_parts(texts.join(big, "comp", "left_semi").select("node", "text"), buckets, sets, least, large))
     return out
 
 
-def _keyed(rows: DataFrame, key: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    def right(batches):
-        for b in pieces(batches, 1):
-            ok = key(b.column(1).to_pylist()).astype(np.int64) == b.column(0).to_numpy()
-            yield b.filter(pa.array(ok))
-
-    return rows.select("node", "text").mapInArrow(right, "node long, text string").dropDuplicates(["node"])
-
-
-def sorted_set(h: np.ndarray) -> np.ndarray:
-    return np.unique(h)
+def verified(buckets: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float, large: int = LARGE) -> DataFrame:
+    """candidates() and confirmed() in one. texts: from (node, comp) to (comp, node, text)."""
+    return confirmed(written(texts(candidates(buckets)), "texts"), buckets, sets, least, large)
 
 
 def positive(h: np.ndarray) -> np.ndarray:
