@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BYTE, U, Routed, fresh, lists, mix, pieces, powers, ranges, signed, written
@@ -26,6 +27,8 @@ _A = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> U(32)).astype(np.u
 _B = (mix(np.arange(1001, ROWS * BANDS + 1001, dtype=np.uint64)) >> U(32)).astype(np.uint32)
 #: Digests that a task remembers, to spare repeated work on equal lines; it forgets all beyond.
 _REMEMBER = 1 << 20
+#: Band keys that a task sorts at once.
+_SORT = 1 << 21
 
 
 class Lines:
@@ -100,6 +103,41 @@ def bands(x: Lines, which: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shared(batches, whole: bool):
+    """(key, node): of the lines of one task that share a band key, the smallest; or, with whole, all where there are several."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in held]])
+        nodes = np.concatenate([np.zeros(0, np.int64), *[x for _, x in held]])
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        if whole:
+            lo = nodes[np.flatnonzero(head)][np.cumsum(head) - 1]
+            other = keys[nodes != lo]  # sorted
+            i = np.minimum(np.searchsorted(other, keys), max(len(other) - 1, 0))
+            head = other[i] == keys if len(other) else np.zeros(len(keys), bool)
+        return pa.RecordBatch.from_arrays([pa.array(keys[head]), pa.array(nodes[head])], ["key", "node"])
+
+    for b in batches:
+        bands = b.column(1)
+        held.append((bands.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), np.diff(bands.offsets.to_numpy()))))
+        size += len(held[-1][0])
+        if size > _SORT:
+            yield out()
+            held, size = [], 0
+    yield out()
+
+
+def _heads(batches):
+    return _shared(batches, False)
+
+
+def _members(batches):
+    return _shared(batches, True)
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(comp, node, text) of the wanted lines, (comp, node, n1, n2, part, row), written. Every input partition is told which of its rows hold wanted
     lines; should partitions come out otherwise than before, the rest is looked for in all rows."""
@@ -162,22 +200,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
 
     kinds = "id long, x long, line_no int, n1 long, n2 long, part int, row long, bands array<long>"
     lines = written(rows.select("id", "text", F.xxhash64("text").alias("x")).mapInArrow(signatures, kinds), "lines")
-    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "n1", "n2", F.struct("part", "row").alias("at"))
-    keyed = keyed.groupBy("key", "n1", "n2").agg(F.min("at").alias("at"))
-    near = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    held = written(keyed.join(near, "key"), "held")
-    # numbers once written: 64 bits of a digest wouldn't tell all lines apart
-    nodes = written(held.groupBy("n1", "n2").agg(F.min("at").alias("at")).select(F.monotonically_increasing_id().alias("node"), "n1", "n2", "at.*"), "nodes")
-    buckets = written(held.join(nodes, ["n1", "n2"]).select("key", "node"), "buckets")
-
-    wanted = written(candidates(buckets).join(nodes, "node"), "wanted")
+    first = lines.where("size(bands) > 0")  # of each line in its part
+    keyed = first.select("n1", "bands")
+    near = W.partitionBy("key")  # a key has a row from each task, at most, whatever the number of its lines
+    heads = keyed.mapInArrow(_heads, "key long, node long").withColumn("lo", F.min("node").over(near)).withColumn("hi", F.max("node").over(near)).where("lo <> hi").select("key", "node")
+    buckets = written(heads.unionByName(keyed.mapInArrow(_members, "key long, node long")).distinct(), "buckets")
+    # so far lines are told by 64 bits; from here on by 128, with numbers of their own
+    wanted = first.select("n1", "n2", F.struct("part", "row").alias("at")).join(candidates(buckets).withColumnRenamed("node", "n1"), "n1").groupBy("n1", "n2", "comp").agg(F.min("at").alias("at"))
+    wanted = written(wanted.select("comp", F.monotonically_increasing_id().alias("node"), "n1", "n2", "at.*"), "wanted")
+    buckets = buckets.withColumnRenamed("node", "n1").join(wanted.select("n1", "node"), "n1").select("key", "node")
+
     roots = written(confirmed(_texts(rows, wanted), buckets, sets, threshold), "roots")
     of = [wanted.select(F.col("node").alias(n), F.col("n1").alias(f"{p}1"), F.col("n2").alias(f"{p}2")) for n, p in (("node", "n"), ("root", "g"))]
     roots = roots.join(of[0], "node").join(of[1], "root").select("n1", "n2", "g1", "g2")
     of = lines.select("id", "x", "line_no", "n1", "n2").join(roots, ["n1", "n2"], "left").select("id", "x", "line_no", F.coalesce("g1", "n1").alias("g1"), F.coalesce("g2", "n2").alias("g2"))
     row = F.struct("id", "line_no", "x")
-    first = of.groupBy("g1", "g2").agg(F.min(row).alias("keep"), F.max(row).alias("hi")).where("keep <> hi").drop("hi")
-    return of.join(first, ["g1", "g2"]).select("id", "x", "line_no", "keep", (row != F.col("keep")).alias("goes"))
+    kept = of.groupBy("g1", "g2").agg(F.min(row).alias("keep"), F.max(row).alias("hi")).where("keep <> hi").drop("hi")
+    return of.join(kept, ["g1", "g2"]).select("id", "x", "line_no", "keep", (row != F.col("keep")).alias("goes"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
