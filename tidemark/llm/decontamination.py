@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, pieces, powers
+from .common import fresh, mix, pieces, powers, written
 
-#: Characters in a gram, edits as a share of an item's length, and bytes of benchmark text searched for in one pass.
-Q, RATE, PASS_BYTES = 8, 0.1, 16 << 20
+#: Characters in a gram, edits as a share of an item's length, and bytes of benchmark text searched for in one pass; its index has some 25 times
+#: the bytes of its text.
+Q, RATE, PASS_BYTES = 8, 0.1, 4 << 20
 _TOP = 1 << 16
 _lower = np.arange(_TOP, dtype=np.uint32)
 _solid = np.ones(_TOP, bool)
@@ -124,13 +125,15 @@ class Items:
         pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in h]])
         h = np.concatenate([np.zeros(0, np.uint64), *h])
         order = np.argsort(h, kind="stable")
-        self.item, self.pos = item[order], pos[order]
+        self.item, self.pos = item[order].astype(np.int32), pos[order].astype(np.int32)
         self.gram, self.first = np.unique(h[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(h)))
+        self.count = np.diff(np.append(self.first, len(h))).astype(np.int32)
+        self.first = self.first.astype(np.int32)
         self.bits = min(30, max(16, int(len(self.gram) * 16).bit_length()))
-        self.may = np.zeros(1 << self.bits, bool)
+        self.may = np.zeros(1 << self.bits - 3, np.uint8)  # a bit each
         for a in self.chars:
-            self.may[quick(a, q) >> np.uint32(32 - self.bits)] = True
+            x = quick(a, q) >> np.uint32(32 - self.bits)
+            np.bitwise_or.at(self.may, x >> np.uint32(3), np.uint8(1) << (x & np.uint32(7)).astype(np.uint8))
 
     def regions(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, lowest diagonal, highest diagonal) of the bands whose shared q-grams reach the bound, for a normalised
@@ -138,7 +141,8 @@ class Items:
         none = (np.zeros(0, np.int64),) * 3
         if len(a) < self.q:
             return none
-        at = np.flatnonzero(self.may[quick(a, self.q) >> np.uint32(32 - self.bits)])
+        x = quick(a, self.q) >> np.uint32(32 - self.bits)
+        at = np.flatnonzero(self.may[x >> np.uint32(3)] >> (x & np.uint32(7)).astype(np.uint8) & np.uint8(1))
         if not len(at):
             return none
         h = hashes(a, at, self.q)
@@ -150,7 +154,7 @@ class Items:
             return none
         c = self.count[g]
         which = np.repeat(self.first[g], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        item, pos = self.item[which], self.pos[which]
+        item, pos = self.item[which].astype(np.int64), self.pos[which].astype(np.int64)
         diag = np.repeat(at, c) - pos
         some = np.bincount(item)[item] >= self.bound[item]  # fewer in the whole text: fewer in any band
         if not some.any():
@@ -267,26 +271,30 @@ def passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     the benchmark's size; each part is one more pass over the documents."""
     ids, texts, size = [], [], 0
     for r in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`")).dropna().orderBy(F.col(f"`{item_col}`"), F.col(f"`{text_col}`")).toLocalIterator():
-        if texts and size + len(r[1]) * 4 > bytes_:
+        if texts and size + len(r[1].encode()) > bytes_:
             yield Items(ids, texts, q, rate)
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
-        size += len(r[1]) * 4
+        size += len(r[1].encode())
     yield Items(ids, texts, q, rate)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", q: int = Q, rate: float = RATE, bytes_: int = PASS_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", q: int = Q, rate: float = RATE, bytes_: int = PASS_BYTES, item_text_col: str = "text") -> DataFrame:
     """(id, item, edits, first_char, end_char) for each document and each benchmark item that occurs in it within
     rate * length edits, at its best place (fewest edits, then first).
 
     Null texts, null items and items without letters and digits match nothing. Items of fewer than q normalised characters match as whole words,
     without edits; in scripts without blanks each character is a word. Repeated rows of docs give repeated results;
-    an id that is null is passed on. Repeated benchmark items give one result each. Of other columns nothing depends."""
+    an id that is null is passed on; items without an id are left out. Repeated benchmark items give one result each. An empty table on either side gives an empty one. Of other columns nothing
+    depends; an id or item column called as one of the results is renamed."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out = None
-    for items in passes(benchmark, item_col, "text", bytes_, q, rate):
+    out, shared = None, None
+    for items in passes(benchmark, item_col, item_text_col, bytes_, q, rate):
+        if shared is not None:  # one index at a time
+            out = written(out, "matches")
+            shared.destroy()
         shared = sc.broadcast(items)
 
         def run(batches, shared=shared):
@@ -298,14 +306,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         part = rows.mapInArrow(run, "id long, item long, edits int, first_char long, end_char long")
         out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    doc = fresh(["edits", "first_char", "end_char"], id_col)
+    return out.toDF(doc, fresh([doc, "edits", "first_char", "end_char"], item_col), "edits", "first_char", "end_char")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, rate: float = RATE, bytes_: int = PASS_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", q: int = Q, rate: float = RATE, bytes_: int = PASS_BYTES, item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark item occurs; null texts stay."""
     sc, names = docs.sparkSession.sparkContext, docs.columns
     flag = fresh(names, "_clean")
-    for items in passes(benchmark, item_col, "text", bytes_, q, rate):
+    for items in passes(benchmark, item_col, item_text_col, bytes_, q, rate):
         clean = _clean(sc.broadcast(items))(F.col(f"`{text_col}`"))
         docs = docs.withColumn(flag, clean).where(F.col(flag)).select(*[F.col(f"`{n}`") for n in names])
     return docs
@@ -321,4 +330,5 @@ def _clean(shared):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """matches() of all documents and all benchmark items."""
     return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -49,4 +49,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deduplicate() of all documents."""
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import fresh
 from .license_texts import DIGESTS, NOTICES, TEXTS
 
+#: Licences up to which their table is broadcast (100 bytes each), so that only what a document holds is shuffled.
+BROADCAST = 100_000
+
 #: Words of the same meaning, each with the one it is written as. Compounds become two words, as hyphens go.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "analyse": "analyze", "artefact": "artifact", "artefacts": "artifacts", "authorisation": "authorization",
@@ -60,19 +63,21 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
     texts or notices are entire lines of it, sorted, comma between them; null where there is none.
 
     licenses: (license, digest), digests as known() makes them; of several licences for a digest the first in order counts. A null or empty text has
-    neither. Repeated rows and null ids are kept. Other columns don't matter, whatever their names."""
+    neither. Repeated rows and null ids are kept; an empty table gives an empty one. A copyright line ends at the line's end: a licence on the same line
+    isn't recognised. Other columns don't matter, whatever their names."""
     licenses = (known(docs.sparkSession) if licenses is None else licenses).groupBy(F.col("digest").alias("_d")).agg(F.min("license").alias("_l"))
     x = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_id"), canonical(F.col(f"`{text_col}`")).alias("_c"))
     lines = F.array_distinct(F.filter(F.transform(F.split("_c", "\n"), lambda s: F.trim(s)), lambda s: s != ""))
     digests = F.array_append(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda s: F.struct(F.lit(False).alias("whole"), F.sha2(s, 256).alias("_d"))), F.struct(F.lit(True).alias("whole"), _digest(F.col("_c")).alias("_d")))
     each = x.select("_row", "_id", F.explode(digests).alias("_e")).select("_row", "_id", "_e.whole", "_e._d")
-    hit = each.join(licenses, "_d", "left")
+    hit = each.join(F.broadcast(licenses) if licenses.limit(BROADCAST + 1).count() <= BROADCAST else licenses, "_d", "left")
     out = hit.groupBy("_row", "_id").agg(F.min(F.when(F.col("whole"), F.col("_l"))).alias("license"), F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("_l")))).alias("_n"))
     notices = F.when(F.size("_n") > 0, F.array_join("_n", ","))
     return out.select(F.col("_id").alias(fresh(["license", "notices"], id_col)), "license", notices.alias("notices"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents for the licences that come with this module."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

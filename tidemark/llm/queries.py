@@ -10,10 +10,12 @@ from . import bpe, decontamination, exact_dedup, license_scan, line_dedup, near_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query by name; each takes (spark, sf_dir)."""
     return {
         "op1_minhash_near_dedup": near_dedup.query,
         "op2_bpe": bpe.query,
         "op3_sharding": sharding.query,
+        "shard_sizes": sharding.sizes_query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_warc": warc.query,
         "op6_toxicity": toxicity.query,

@@ -219,4 +219,10 @@ def shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "n_chars"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards() of all documents."""
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sizes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shard, documents, bytes) of shards of 256 kB, small enough to cut small tables."""
+    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), target=256 << 10).groupBy("shard").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"))

@@ -7,7 +7,8 @@ Texts are sequences of words, as white space separates them. Every passage of LE
 2. The others are classed by their first LEAST words. A suffix can only begin a repeat that isn't part of a longer one
    where its class has different words before it, and subtrees can only branch where a class has different words after it; only these places go on.
 3. Suffixes are split by prefix into groups that fit a task's memory: the prefixes whose first occurrence is in the same document share a group, so
-   that a stretch of text goes to few of them; a group that is too large is split by prefix.
+   that a stretch of text goes to few of them; a group that is too large is split by prefix. A prefix that has too many suffixes for a task is extended
+   to where its suffixes part, and split by the words that follow, until each part fits; each suffix takes along the deepest repeat above.
 4. In a group each prefix has its subtree, compacted to the branching places. Its internal nodes are repeats of LEAST words or more; for each suffix the
    deepest one that has an earlier occurrence, and the deepest one of which it is the first occurrence itself, are kept, and of
    those the ones that are in no other of their document.
@@ -144,7 +145,7 @@ def _branching(suffixes: DataFrame) -> DataFrame:
     return x.select("h", "id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit(low)).cast("int").alias("pos"), "before", "after", "l", "r", "on", "own")
 
 
-_RUN = "part long, id long, tag int, start array<int>, h array<long>, branch array<int>, after array<long>"
+_RUN = "part long, id long, tag int, start array<int>, h array<long>, branch array<int>, after array<long>, big boolean"
 
 
 def _runs(batches):
@@ -154,9 +155,9 @@ def _runs(batches):
     names = [x.split()[0] for x in _RUN.split(", ")]
 
     def cut(t: pa.Table) -> pa.RecordBatch:
-        i, tag, pos, l, r, on, h, after, part = (t.column(c).to_numpy() for c in ("id", "tag", "pos", "l", "r", "on", "h", "after", "part"))
+        i, tag, pos, l, r, on, h, after, part, big = (t.column(c).to_numpy() for c in ("id", "tag", "pos", "l", "r", "on", "h", "after", "part", "big"))
         keep = np.append(True, (i[1:] != i[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1])) if len(i) else np.zeros(0, bool)
-        i, tag, pos, l, r, on, h, after, part = (x[keep] for x in (i, tag, pos, l, r, on, h, after, part))
+        i, tag, pos, l, r, on, h, after, part, big = (x[keep] for x in (i, tag, pos, l, r, on, h, after, part, big))
         last = r & ~on
         if len(i):
             last |= np.append((i[1:] != i[:-1]) | (tag[1:] != tag[:-1]), True)
@@ -167,15 +168,15 @@ def _runs(batches):
             if not len(mine):
                 continue
             b = np.flatnonzero(r[a:e]) + a
-            for p in np.unique(part[mine]).tolist():
-                m = mine[part[mine] == p]
+            large, mine = mine[big[mine]], mine[~big[mine]]
+            for p, m, one in [*((p, mine[part[mine] == p], False) for p in np.unique(part[mine]).tolist()), *((int(h[k]), np.array([k]), True) for k in large.tolist())]:
                 s = b[np.searchsorted(b, m[0]) :]
                 if len(s):
-                    for c, v in zip(out, (p, int(i[a]), int(tag[a]), pos[m], h[m], pos[s], after[s])):
+                    for c, v in zip(out, (p, int(i[a]), int(tag[a]), pos[m], h[m], pos[s], after[s], one)):
                         c.append(v)
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
         arrays = [lists(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64 if k == pa.int64() else np.int32), np.array([len(v) for v in c], np.int64), k) for c, k in zip(out[3:], kinds)]
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *arrays], names)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *arrays, pa.array(out[7], pa.bool_())], names)
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -247,12 +248,38 @@ def repeats(start: list[int], who: list[tuple[int, int]], seq: list[bytes], bran
             yield order[k], start[order[k]] + deep[x], hi[x] - lo[x], order[low[x]]
 
 
+def _extended(big: DataFrame, least: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of more than `group` suffixes, a row each with its class in part: those split by longer prefixes, as rows for _trees, and what is found on the way. Each round takes
+    each class to where its suffixes part: an internal node. Classes meet only in aggregations and in joins with one row a class, so no task holds one."""
+    place, found, fit = F.struct("id", "tag", F.col("start")[0].alias("pos")), None, None
+    now = written(big.withColumn("up", F.lit(None).cast(_UP)), "big")
+    while not now.isEmpty():
+        first = now.groupBy("part").agg(F.min(place).alias("first"), F.min_by("after", place).alias("path"), F.count("*").cast("int").alias("copies"))
+        x = now.join(first, "part").withColumn("same", F.array_position(F.zip_with("after", "path", lambda a, b: a.eqNullSafe(b)), False) - 1)
+        x = x.withColumn("same", F.when(F.col("same") >= 0, F.col("same")))  # null if it is all the first's path
+        depth = x.groupBy("part").agg(F.coalesce(F.min("same"), F.min(F.size("path")) - 1).cast("int").alias("node"))
+        x = x.drop("same", "path").join(depth, "part").withColumn("stop", F.get("branch", F.col("node")) + least).withColumn("own", place == F.col("first"))
+        up = F.struct((F.col("stop") - F.col("start")[0]).alias("size"), "copies", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"))
+        x = x.withColumn("up", F.when(F.col("own"), F.col("up")).otherwise(up)).withColumn("part", F.xxhash64("part", "node", F.get("after", F.col("node"))))
+        x = written(x.select("part", "id", "tag", "start", "h", "branch", "after", "up", "stop", "copies", "own"), "extended")
+        x = written(x.join(x.groupBy("part").agg(F.count("*").alias("n")), "part"), "extended")
+        alone = x.where("n = 1")
+        a = alone.where("up is not null").select("id", "tag", F.col("start")[0].alias("pos"), (F.col("start")[0] + F.col("up.size")).alias("stop"), "up.copies", F.col("up.id").alias("keep_id"), F.col("up.pos").alias("keep_pos"))
+        b = alone.where("own").select("id", "tag", F.col("start")[0].alias("pos"), "stop", "copies", F.col("id").alias("keep_id"), F.col("start")[0].alias("keep_pos"))
+        run = ["part", "id", "tag", "start", "h", "branch", "after", "up"]
+        small, now = x.where(f"n > 1 and n <= {group}").select(*run), written(x.where(f"n > {group}").select(*run), "big")
+        found = a.unionByName(b) if found is None else found.unionByName(a).unionByName(b)
+        fit = small if fit is None else fit.unionByName(small)
+    return fit, found
+
+
+_UP = "struct<size: int, copies: int, id: bigint, pos: int>"
 _FOUND = "id long, tag int, pos int, stop int, copies int, keep_id long, keep_pos int"
 
 
 def _trees(least: int):
     def group(rows: list[tuple]) -> list[tuple]:
-        """rows: (id, tag, start, h, branch, after) of one group."""
+        """rows: (id, tag, start, h, branch, after, up) of one group; up: (size, copies, id, pos) of the deepest repeat of an earlier occurrence above the group's prefix."""
         by: dict[int, list[tuple[int, int]]] = {}
         raw = [(x[5] & 0xFFFFFFFF).astype(">u4").tobytes() for x in rows]
         for r, x in enumerate(rows):
@@ -262,7 +289,7 @@ def _trees(least: int):
         for members in by.values():
             start, who, seq, branch = [], [], [], []
             for r, j in members:
-                i, tag, s, _, b, _ = rows[r]
+                i, tag, s, _, b, _, _ = rows[r]
                 k = int(np.searchsorted(b, s[j]))
                 start.append(int(s[j]))
                 who.append((i, tag))
@@ -270,6 +297,9 @@ def _trees(least: int):
                 branch.append(b[k:])
             for m, stop, copies, first in repeats(start, who, seq, branch, least):
                 out.append((*who[m], start[m], stop, copies, who[first][0], start[first]))
+            k = min(range(len(start)), key=lambda m: (*who[m], start[m]))
+            if up := rows[members[k][0]][6]:  # the others have deeper ones here
+                out.append((*who[k], start[k], start[k] + up["size"], up["copies"], up["id"], up["pos"]))
         return out
 
     def run(batches):
@@ -290,22 +320,15 @@ def _trees(least: int):
                     if len(held) > 1 << 15:
                         yield batch()
                         held = []
-                rows.append((c[1][r].as_py(), c[2][r].as_py(), *[c[i][r].values.to_numpy() for i in range(3, 7)]))
+                rows.append((c[1][r].as_py(), c[2][r].as_py(), *[c[i][r].values.to_numpy() for i in range(3, 7)], c[7][r].as_py()))
         held += group(rows) if rows else []
         yield batch()
 
     return run
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int | None = None, group: int = GROUP) -> DataFrame:
-    """(id, first_word, end_word, copies, keep_id, keep_first_word): stretches of documents, in words counted from 0, of `least` words or more that occur more
-    than once. Where keep_id and keep_first_word are the row's own, the stretch is the first occurrence of what it holds,
-    in order of ids and places; otherwise it goes, and those tell the first occurrence. copies counts all occurrences. The rows of
-    one document that go are maximal: none lies in another; together they cover every word of it that is part of a
-    passage with an earlier occurrence.
-
-    Rows with a null id or text, and texts of fewer words, have no repeats. Copies under one id count once. Words are compared by
-    64 bits of the passages' hashes. Other columns don't matter, whatever their names. Ids must be integers."""
+def _found(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int | None, group: int) -> DataFrame:
+    """(id, tag, pos, stop, copies, keep_id, keep_pos, own): what spans() returns; tag: a hash of the text, which tells texts under one id apart."""
     gram = (least + 1) // 2 if gram is None else gram
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).dropna()
     try:
@@ -316,12 +339,36 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         at = written(_branching(_shared_suffixes(written(rows, "rows"), least, gram)), "branching")  # from files partitions come out as they did
     large = at.where("l").groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > group).select("own", F.ceil(F.col("n") / group).alias("parts"))
     part = F.when(F.col("parts").isNull(), F.xxhash64("own")).otherwise(F.xxhash64("own", F.pmod("h", F.col("parts"))))
-    placed = at.join(large, "own", "left").select("id", "tag", "pos", "l", "r", "on", "h", "after", part.alias("part"))
+    placed = at.join(large, "own", "left").select("id", "tag", "pos", "l", "r", "on", "h", "after", part.alias("part"), F.col("parts").isNotNull().alias("split"))
+    big = written(placed.where("l and split").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group).select("h", F.lit(True).alias("big")), "large")
+    some = not big.isEmpty()
+    placed = (placed.join(big, "h", "left") if some else placed.withColumn("big", F.lit(False))).withColumn("big", F.coalesce("big", F.lit(False))).drop("split")
     runs = placed.repartition("id", "tag").sortWithinPartitions("id", "tag", "pos").mapInArrow(_runs, _RUN)
+    up = F.lit(None).cast(_UP).alias("up")
+    more = None
+    if some:
+        runs = written(runs, "runs")
+        fit, more = _extended(runs.where("big").drop("big"), least, group)
+        runs = runs.where("not big").withColumn("up", up).drop("big").unionByName(fit)
+    else:
+        runs = runs.withColumn("up", up).drop("big")
     found = runs.repartition("part").sortWithinPartitions("part").mapInArrow(_trees(least), _FOUND)
+    found = found if more is None else found.unionByName(more)
     own = (F.col("keep_id") == F.col("id")) & (F.col("keep_pos") == F.col("pos"))
     upto = F.max("stop").over(W.partitionBy("id", "tag", "own").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    out = found.withColumn("own", own).withColumn("upto", upto).where("upto is null or stop > upto")
+    return found.withColumn("own", own).withColumn("upto", upto).where("upto is null or stop > upto")
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int | None = None, group: int = GROUP) -> DataFrame:
+    """(id, first_word, end_word, copies, keep_id, keep_first_word): stretches of documents, in words counted from 0, of `least` words or more that occur more
+    than once. Where keep_id and keep_first_word are the row's own, the stretch is the first occurrence of what it holds,
+    in order of ids and places; otherwise it goes, and those tell the first occurrence. copies counts all occurrences. The rows of
+    one document that go are maximal: none lies in another; together they cover every word of it that is part of a
+    passage with an earlier occurrence.
+
+    Rows with a null id or text, and texts of fewer words, have no repeats; an empty table gives an empty one. Each character of a script without blanks is a word. Copies under one id count once. Words are compared by
+    64 bits of the passages' hashes. Other columns don't matter, whatever their names. Ids must be integers."""
+    out = _found(docs, id_col, text_col, least, gram, group)
     names = fresh(["first_word", "end_word", "copies", "keep_id", "keep_first_word"], id_col)
     return out.select(F.col("id").alias(names), F.col("pos").alias("first_word"), F.col("stop").alias("end_word"), "copies", "keep_id", F.col("keep_pos").alias("keep_first_word"))
 
@@ -341,18 +388,26 @@ def without(text: str, cuts: list[tuple[int, int]]) -> str:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """docs with every passage of `least` words or more taken out of the texts but where it occurs first; all rows and
-    other columns stay. Nulls stay as they are."""
-    cuts, i = fresh(docs.columns, "_cuts"), fresh(docs.columns, "_id")
-    found = spans(docs, id_col, text_col, least)
-    found = found.toDF("i", "a", "b", "n", "k", "f").where("k <> i or f <> a").groupBy(F.col("i").alias(i)).agg(F.collect_set(F.struct("a", "b")).alias(cuts))
+    other columns stay. Texts are told apart by their content, too, where an id repeats; rows that repeat both id and text are one document. Nulls stay as they are."""
+    cuts, i, tag = (fresh(docs.columns, n) for n in ("_cuts", "_id", "_tag"))
+    found = _found(docs, id_col, text_col, least, None, GROUP).where("not own").groupBy(F.col("id").alias(i), F.col("tag").alias(tag)).agg(F.collect_set(F.struct(F.col("pos").alias("a"), F.col("stop").alias("b"))).alias(cuts))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, where: pa.Array) -> pa.Array:
         return pa.array([t if t is None or not c else without(t, [(x["a"], x["b"]) for x in c]) for t, c in zip(texts.to_pylist(), where.to_pylist())], pa.string())
 
-    both = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(i), "left")
+    @F.arrow_udf("int")
+    def tags(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            h = Words([t], plain=True).hash
+            out.append(int(grams(h, len(h))[0] >> U(33)) if len(h) >= least else None)
+        return pa.array(out, pa.int32())
+
+    both = docs.withColumn(tag + "_", tags(F.col(f"`{text_col}`"))).join(found, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.col(tag + "_") == F.col(tag)), "left")
     return both.select(*[cut(F.col(f"`{n}`"), F.col(cuts)).alias(n) if n == text_col else F.col(f"`{n}`") for n in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans() of all documents."""
     return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import fresh, pieces, written
 
 #: Labelled rows that a model is fitted on, at most. They are chosen by the hash of their ids.
 MAX_LABELLED = 20_000
-#: Words of the learnt lexicon, at most.
-MAX_LEXICON = 4_000
 #: Toxic texts that a word of the learnt lexicon is in, at least, and their share of all.
 LEAST_TOXIC, SHARE_TOXIC = 3, 0.005
 #: Calibrated probability from which a document is toxic.
@@ -61,6 +59,7 @@ _LEXICON, _SECOND = frozenset(w.encode() for w in LEXICON), frozenset(w.encode()
 
 
 def words_of(text: str) -> list[bytes]:
+    """The words of a text, in lower case: what white space and ASCII punctuation separate."""
     return text.lower().encode().translate(_CLEAN).split()
 
 
@@ -188,14 +187,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    labels = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     labels = labels.orderBy(F.xxhash64("id"), "id").limit(most)  # the bound
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     rows = docs.join(F.broadcast(labels), "id").select(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(5)).alias("fold"), F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "text")
     return written(rows, "labelled")
 
 
-def _lexicon(rows: DataFrame, most: int) -> dict[bytes, float]:
+def _lexicon(rows: DataFrame) -> dict[bytes, float]:
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}
@@ -218,17 +217,17 @@ def _lexicon(rows: DataFrame, most: int) -> dict[bytes, float]:
     words = rows.select("y", "text").mapInArrow(arrow, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
     least = max(LEAST_TOXIC, SHARE_TOXIC * n[1])  # fewer may be copies of one text
-    kept = words.where((F.length("w") > 2) & (F.col("a") >= least)).withColumn("odds", odds).where("odds > 2.2").orderBy(F.desc("odds"), "w").limit(most)
+    kept = words.where((F.length("w") > 2) & (F.col("a") >= least)).withColumn("odds", odds).where("odds > 2.2")  # all of them: their number is bounded by that of the labelled rows
     return {r["w"].encode(): float(r["odds"]) for r in kept.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Fits on at most max_labelled labelled rows, in three parts that share no row: one for the learnt lexicon,
     one for the trees, one for the calibration. Labels that are null or whose document is missing don't count; of
     several labels for an id the highest does. With no row of either class in a part the general lexicon decides
     alone."""
     rows = _sample(docs, labels, id_col, text_col, label_col, max_labelled)
-    learnt = _lexicon(rows.where("fold < 2").dropDuplicates(["y", "text"]), max_lexicon)
+    learnt = _lexicon(rows.where("fold < 2").dropDuplicates(["y", "text"]))
 
     def dense(batches):
         for b in pieces(batches, 2):
@@ -263,15 +262,18 @@ def probability(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, probability, toxic) for every row of docs, repeated rows and null ids included; a null text isn't
-    toxic. Other columns of docs don't matter, whatever their names."""
-    return docs.select(F.col(id_col), F.round(probability(model)(F.col(text_col)), 6).alias("probability")).select(id_col, "probability", (F.col("probability") >= threshold).alias("toxic"))
+    toxic. An empty table gives an empty one. Other columns of docs don't matter, whatever their names; an id column called as one of the results is renamed."""
+    x = docs.select(F.col(f"`{id_col}`").alias("_1"), F.round(probability(model)(F.col(f"`{text_col}`")), 6).alias("_2"))
+    return x.select(F.col("_1").alias(fresh(["probability", "toxic"], id_col)), F.col("_2").alias("probability"), (F.col("_2") >= threshold).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that aren't toxic; null texts stay."""
-    return docs.where(F.col(text_col).isNull() | (probability(model)(F.coalesce(F.col(text_col), F.lit(""))) < threshold))
+    text = F.col(f"`{text_col}`")
+    return docs.where(text.isNull() | (probability(model)(F.coalesce(text, F.lit(""))) < threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a model fitted on their labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

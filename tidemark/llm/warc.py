@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, remove, scratch, shared_dir, written
+from .common import fresh, pieces, remove, scratch, written
+from .common import opened as file_system
 
 #: Bytes of records in a file before compression, about; bytes of a dictionary, at most; compression level.
 FILE_BYTES, DICTIONARY, LEVEL = 64 << 20, 112_640, 6
@@ -44,14 +45,14 @@ def record(key: object, url: str | None, body: bytes, date: str) -> tuple[bytes,
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY) -> bytes:
-    """Built from all the records; empty if they are too few or too small to build one from."""
+    """Built from all the records by COVER; where they are too few or too small for it, of the first part of each, an eighth in all. Without
+    records, or of size 0, it is empty."""
     total = sum(map(len, records))
-    if len(records) < 8 or total < 4096:
-        return b""
     try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 8)), records, **_COVER).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, total // 8)), records, **_COVER).as_bytes() if size and records else b""
     except zstandard.ZstdError:
-        return b""
+        share = min(size, max(64, total // 8)) // len(records) + 1
+        return b"".join(r[:share] for r in reversed(records))[-size:]
 
 
 def archive(records: list[bytes], level: int = LEVEL, size: int = DICTIONARY) -> Iterator[bytes]:
@@ -104,9 +105,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     offset, length, raw_length, digest), digest being the SHA-1 of the body in base 32.
 
     A file's name follows from its partition, and it is put in place by renaming, so a task that runs again replaces what it wrote. A null body is
-    written as an empty one, a null url as none; both null ids and repeated rows are kept. An empty table gives an empty index and no file. A body
+    written as an empty one, a null url as none; both null ids and repeated rows are kept. An empty table gives an empty index and no file. A folder that already holds
+    WARC files raises ValueError. A body
     above file_bytes has a file of its own. Other columns aren't archived, whatever their names. The rows of pages must come in the same partitions when a task is
     repeated, as they do from files."""
+    spark, p = pages.sparkSession, pages.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/*.warc.zst")
+    if spark._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().globPath(p).size():
+        raise ValueError(f"{path} holds WARC files already")
     kind = pages.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{body_col}`").alias("body"))
 
@@ -114,7 +119,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         from pyspark import TaskContext
 
         t = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
         kept, raw, held, n = [], [], 0, 0
 
@@ -202,5 +207,5 @@ def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
+    """round_trip() of all pages."""
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
