@@ -117,10 +117,10 @@ def test_decontamination_against_all_pairs(spark):
     rng = random.Random(5)
     items = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(3, 60))) for _ in range(25)]
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(150))) for _ in range(30)]
-    for k in range(40):
+    for k in range(120):
         c = list(rng.choice(items))
         for _ in range(rng.randrange(6)):
-            c[rng.randrange(len(c)) : rng.randrange(len(c)) + 1] = rng.choice(["", "a", "bb"])
+            c[rng.randrange(len(c) or 1) : rng.randrange(len(c) or 1) + 1] = rng.choice(["", "a", "bb"])
         i = rng.randrange(len(texts))
         texts[i] = texts[i][:40] + "".join(c) + texts[i][40:]
     bench = spark.createDataFrame([(k, None, t) for k, t in enumerate(items)] + [(None, None, "aaaa bbbb cccc")], "edits long, text string, question string")

@@ -168,7 +168,10 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     rest = wanted.join(got, "node", "left_anti")
     while not rest.isEmpty():  # every partition is told of all that is left, in rounds of bounded size
         some = written(rest.limit(_REMEMBER).crossJoin(F.broadcast(texts.select(F.spark_partition_id().alias("p")).distinct())).withColumn("part", F.col("p")).drop("p"), "rest")
-        more = texts.mapInArrow(mapped(Routed(spark, some, "places"), True), kinds)
+        # written by itself: in a union its partitions would be numbered anew
+        more = written(texts.mapInArrow(mapped(Routed(spark, some, "places"), True), kinds), "texts")
+        if more.isEmpty():
+            raise RuntimeError("lines are gone: the documents changed while they were read")
         got = written(got.unionByName(more), "texts")
         rest = wanted.join(got, "node", "left_anti")
     return got
