@@ -36,6 +36,26 @@ def test_universal_at_the_ends(spark):
     assert 0 <= df.select(small(F.lit("any text"))).first()[0] <= LARGEST
 
 
+def test_any_64_bit_item(spark):
+    """The functions' values are those of whole numbers without bounds, whatever the item."""
+    items = [0, LARGEST, PRIME, 3_000_000_000, -3_000_000_000, 2**62 + 5, 2**63 - 1, -(2**63)]
+    f = family(5) + [(5, PRIME - 1, PRIME - 1)]
+    df = spark.createDataFrame([(x,) for x in items], "item long")
+    got = {(r["i"], r["item"]): r["h"] for r in df.crossJoin(spark.createDataFrame(f, "i int, a long, b long")).select("i", "item", universal(F.col("item")).alias("h")).collect()}
+    assert got == {(i, x): (a * x + b) % PRIME for i, a, b in f for x in items}
+    ids = list(range(3_000_000_000, 3_000_000_010)) + [2**62, -(2**62)]
+    long = spark.createDataFrame([("s", x) for x in ids], "key string, item long")
+    gone = sorted(ids, key=lambda x: (x * 2654435761 % 2**32, x))[:6]
+    out = {r["item"] for r in S.perturbed(long, "key", [0.5]).collect()}
+    assert out == set(ids) - set(gone) | {2**62 + i for i in range(1, 7)}
+
+
+def test_distinct_errors(spark):
+    df = spark.createDataFrame([("k", "i", x % 60) for x in range(180)] + [("k", "i", None), ("k", "few", 1)], "k string, i string, a long")
+    (r,) = A.distinct_errors(df, "k", "i", "a").collect()
+    assert (r["i"], r["exact"]) == ("i", 60) and abs(r["hll_05"] - 60) <= 9 and r["error_05"] == pytest.approx(100 * (r["hll_05"] - 60) / 60)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 3, 10, 50, 200, None)], "n int")
     assert [r[0] for r in df.select(activity_bucket(F.col("n"))).collect()] == ["2_low", "1_single", "2_low", "3_medium", "4_high", "5_power", "5_power"]

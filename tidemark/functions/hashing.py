@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRIME = 4_294_967_311
-#: Items up to this are hashed without overflow of 64 bits.
+#: small() hashes to numbers below this.
 LARGEST = 2_147_483_640
 
 
@@ -25,8 +25,11 @@ def family_table(spark: SparkSession, n: int, prime: int = PRIME, seed: int = 42
 
 
 def universal(item: Column, prime: int = PRIME) -> Column:
-    """The hash of an item by the function in columns a and b. Never negative, for negative items too."""
-    return F.pmod(F.col("a") * item + F.col("b"), F.lit(prime))
+    """The hash of an item by the function in columns a and b. Never negative, for negative items too. Any 64-bit item will do: it is
+    multiplied in two halves, so nothing overflows for primes below 2**33."""
+    x, p = F.pmod(item, F.lit(prime)), F.lit(prime)
+    high = F.pmod(F.col("a") * F.shiftright(x, 16), p)
+    return F.pmod(high * 65536 + F.col("a") * x.bitwiseAND(F.lit(65535)) + F.col("b"), p)
 
 
 def small(item: Column) -> Column:

@@ -43,7 +43,9 @@ def perturbed(long: DataFrame, key: str, levels: Sequence[float] = (0.1, 0.2, 0.
     spark = long.sparkSession
     share = spark.createDataFrame([(float(x),) for x in levels], "level double")
     x = long.select(F.col(key).alias("origin"), "item")
-    order = W.partitionBy("origin").orderBy(F.pmod(F.col("item") * F.lit(2654435761), F.lit(4294967296)), "item")
+    m, by, bits = F.pmod("item", F.lit(4294967296)), F.lit(2654435761), F.lit(65536)
+    mixed = F.pmod(F.pmod(F.shiftright(m, 16) * by, bits) * bits + m.bitwiseAND(F.lit(65535)) * by, F.lit(4294967296))  # in halves: nothing overflows
+    order = W.partitionBy("origin").orderBy(mixed, "item")
     ranked = x.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(share))
     sizes = x.groupBy("origin").agg(F.count("*").alias("n")).crossJoin(F.broadcast(share)).withColumn("d", F.floor(F.col("n") * F.col("level")))
     rest = ranked.join(sizes, ["origin", "level"]).where("r > d").select("origin", "level", "item")
