@@ -110,6 +110,37 @@ def test_classes_beyond_a_group(spark, monkeypatch, group):
         assert len(found) == copies > 1 and found[0] == (j, c)
 
 
+def test_deep_classes_take_few_rounds(spark, monkeypatch):
+    """Runs of one word: the subtree of their prefix is a chain, of which each round once took off one link. Whole groups and small ones give what brute force gives."""
+    texts = [f"{'ab'[i % 2]}{i} {'the ' * (60 + 7 * i)}{'cd'[i % 2]} x{i % 3} y{i}" for i in range(8)] + [f"u {'the ' * 40} v {'the ' * 90} c x0 z", "the " * 110]
+    made, written = [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, what: made.append(what) or written(df, what))
+    got = [tuple(r) for r in substring_dedup.spans(docs(spark, texts), least=5, group=100).collect()]
+    assert 3 <= made.count("big") <= 10 and len(made) <= 40  # a deepest repeat of about 110 words
+    monkeypatch.setattr(substring_dedup, "_SORT", 10**9)
+    assert sorted(got) == sorted(tuple(r) for r in substring_dedup.spans(docs(spark, texts), least=5).collect())
+    assert {r[:3] for r in got if (r[0], r[1]) != r[4:]} == spans_brute(texts, 5)
+
+
+def test_halves_against_sorting():
+    rng = random.Random(6)
+    for _ in range(60):
+        after = [np.array([rng.choice((1, 1, 1, rng.randrange(3), 5 + d)) for _ in range(rng.randrange(1, 40))], np.int64) for d in range(6)]
+        after = [np.append(a, 100 + d) for d, a in enumerate(after)]  # the ends differ
+        base = np.cumsum([0, *map(len, after)])
+        suffixes = sorted(rng.sample([(d, k) for d, a in enumerate(after) for k in range(len(a))], 6))
+        suffixes += [x for x in [(d, k) for d, a in enumerate(after) for k in range(len(a))] if x not in suffixes and rng.random() < 0.8]
+        want = substring_dedup.repeats([k for _, k in suffixes], [(d, 0) for d, _ in suffixes], [after[d][k:].astype(">u4").tobytes() for d, k in suffixes], [np.arange(k, len(after[d])) for d, k in suffixes], 5)
+        want = [x for x in want if x[1] > suffixes[x[0]][1] + 5]  # some word is shared
+        d, k = np.array(suffixes).T
+        one = np.ones(len(d), np.int64)
+        m = np.diff(base)[d] - k
+        s, shared, copies, first = substring_dedup.halves(np.concatenate(after).view(np.uint64), base[d] + k, m, substring_dedup._order(d, k), one, one * 0, one * 64, one, one > 0)
+        stop = k[s] + shared + 5
+        got = [x for x in zip(s.tolist(), stop.tolist(), copies.tolist(), first.tolist()) if x[1] > suffixes[x[0]][1] + 5]
+        assert len(got) > 10 and sorted(got) == sorted(map(tuple, want))
+
+
 # --- whole queries by brute force ----------------------------------------------------------------------------------
 
 

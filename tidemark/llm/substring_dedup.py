@@ -7,15 +7,19 @@ Texts are sequences of words, as white space separates them. Every passage of LE
 2. The others are classed by their first LEAST words. A suffix can only begin a repeat that isn't part of a longer one
    where its class has different words before it, and subtrees can only branch where a class has different words after it; only these places go on.
 3. Suffixes are split by prefix into groups that fit a task's memory: the prefixes whose first occurrence is in the same document share a group, so
-   that a stretch of text goes to few of them; a group that is too large is split by prefix. A prefix that has too many suffixes for a task is extended
-   to where its suffixes part, and split by the words that follow, until each part fits; each suffix takes along the deepest repeat above.
+   that a stretch of text goes to few of them; a group that is too large is split by prefix.
 4. In a group each prefix has its subtree, compacted to the branching places. Its internal nodes are repeats of LEAST words or more; for each suffix the
    deepest one that has an earlier occurrence, and the deepest one of which it is the first occurrence itself, are kept, and of
    those the ones that are in no other of their document.
+5. The subtree of a prefix that has too many suffixes for a task (runs of one word, say) is halved by depth: below the middle depth each set of suffixes that share
+   as much is a part; above it the first of each set stands for the set. Parts are halved again until each fits a task, so
+   there are as many rounds as the depth has binary digits, at most, however deep the subtree is; a round has less than two rows a suffix.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Routed, U, Words, fresh, grams, lists, mix, pieces, signed, written
+from .common import Routed, U, Words, discard, fresh, grams, lists, mix, pieces, powers, signed, written
 
 #: Words in a repeat, at least; words in a gram; suffixes in a group, about.
 LEAST, GRAM, GROUP = 50, 25, 200_000
@@ -150,7 +154,7 @@ _RUN = "part long, id long, tag int, start array<int>, h array<long>, branch arr
 
 def _runs(batches):
     """Documents' stretches of repeated text, for each group that has suffixes of one: where those begin and their prefixes, and the branching
-    places from there on with the words that follow them."""
+    places from there on with the words that follow them. Suffixes of large classes have one row a stretch, too."""
     rest = None
     names = [x.split()[0] for x in _RUN.split(", ")]
 
@@ -169,7 +173,7 @@ def _runs(batches):
                 continue
             b = np.flatnonzero(r[a:e]) + a
             large, mine = mine[big[mine]], mine[~big[mine]]
-            for p, m, one in [*((p, mine[part[mine] == p], False) for p in np.unique(part[mine]).tolist()), *((int(h[k]), np.array([k]), True) for k in large.tolist())]:
+            for p, m, one in [*((p, mine[part[mine] == p], False) for p in np.unique(part[mine]).tolist()), *([(0, large, True)] if len(large) else [])]:
                 s = b[np.searchsorted(b, m[0]) :]
                 if len(s):
                     for c, v in zip(out, (p, int(i[a]), int(tag[a]), pos[m], h[m], pos[s], after[s], one)):
@@ -248,48 +252,253 @@ def repeats(start: list[int], who: list[tuple[int, int]], seq: list[bytes], bran
             yield order[k], start[order[k]] + deep[x], hi[x] - lo[x], order[low[x]]
 
 
-def _extended(big: DataFrame, least: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """Classes of more than `group` suffixes, a row each with its class in part: those split by longer prefixes, as rows for _trees, and what is found on the way. Each round takes
-    each class to where its suffixes part: an internal node. Classes meet only in aggregations and in joins with one row a class, so no task holds one."""
-    place, found, fit = F.struct("id", "tag", F.col("start")[0].alias("pos")), None, None
-    now = written(big.withColumn("up", F.lit(None).cast(_UP)), "big")
-    while not now.isEmpty():
-        first = now.groupBy("part").agg(F.min(place).alias("first"), F.min_by("after", place).alias("path"), F.count("*").cast("int").alias("copies"))
-        x = now.join(first, "part").withColumn("same", F.array_position(F.zip_with("after", "path", lambda a, b: a.eqNullSafe(b)), False) - 1)
-        x = x.withColumn("same", F.when(F.col("same") >= 0, F.col("same")))  # null if it is all the first's path
-        depth = x.groupBy("part").agg(F.coalesce(F.min("same"), F.min(F.size("path")) - 1).cast("int").alias("node"))
-        x = x.drop("same", "path").join(depth, "part").withColumn("stop", F.get("branch", F.col("node")) + least).withColumn("own", place == F.col("first"))
-        up = F.struct((F.col("stop") - F.col("start")[0]).alias("size"), "copies", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"))
-        x = x.withColumn("up", F.when(F.col("own"), F.col("up")).otherwise(up)).withColumn("part", F.xxhash64("part", "node", F.get("after", F.col("node"))))
-        x = written(x.select("part", "id", "tag", "start", "h", "branch", "after", "up", "stop", "copies", "own"), "extended")
-        x = written(x.join(x.groupBy("part").agg(F.count("*").alias("n")), "part"), "extended")
-        alone = x.where("n = 1")
-        a = alone.where("up is not null").select("id", "tag", F.col("start")[0].alias("pos"), (F.col("start")[0] + F.col("up.size")).alias("stop"), "up.copies", F.col("up.id").alias("keep_id"), F.col("up.pos").alias("keep_pos"))
-        b = alone.where("own").select("id", "tag", F.col("start")[0].alias("pos"), "stop", "copies", F.col("id").alias("keep_id"), F.col("start")[0].alias("keep_pos"))
-        run = ["part", "id", "tag", "start", "h", "branch", "after", "up"]
-        small, now = x.where(f"n > 1 and n <= {group}").select(*run), written(x.where(f"n > {group}").select(*run), "big")
-        found = a.unionByName(b) if found is None else found.unionByName(a).unionByName(b)
+def halves(after: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, low: np.ndarray, width: np.ndarray, copies: np.ndarray, deep: np.ndarray):
+    """What repeats() gives, for parts of subtrees and without copies of the suffixes. after: words that follow branching places; at: where each suffix's first one is in it; size: how many it has;
+    place: the suffixes' order. The suffixes of a part share `low` branching places and less than low + width, a power of two; each
+    stands for `copies`, and is asked for what it is the first of if it is `deep`. Gives arrays (suffix, branching places shared, copies, first suffix), a row each."""
+    up, down = powers(_BASE, len(after) + 1)
+    sums = np.append(U(0), np.cumsum(after * up[: len(after)], dtype=np.uint64))
+    part, left, now = part.view(np.uint64), int(width.max(initial=0)), None
+    while left:
+        new = np.flatnonzero(width == left)
+        new = (new, part[new], low[new], copies[new], deep[new])
+        i, p, lo, n, d = now = new if now is None else tuple(map(np.concatenate, zip(now, new)))
+        if left == 1:
+            break
+        left //= 2
+        has = size[i] >= lo + left
+        x = np.flatnonzero(has)
+        a = at[i[x]] + lo[x]
+        v = mix(mix((sums[a + left] - sums[a]) * down[a] + U(left * _BASE & 0xFFFFFFFFFFFFFFFF)) + p[x] * U(0x9E3779B97F4A7C15))  # one for each part, width and what follows
+        order = np.lexsort((place[i[x]], v))
+        x, v = x[order], v[order]
+        begin = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+        many = np.diff(np.append(begin, len(v)))
+        total = np.add.reduceat(n[x], begin) if len(v) else n[:0]
+        set_ = many > 1
+        below, lead = np.repeat(set_, many), x[begin[set_]]
+        alone = np.concatenate([x[begin[~set_]], np.flatnonzero(~has)])
+        y = x[below]
+        now = (
+            np.concatenate([i[y], i[alone], i[lead]]),
+            np.concatenate([v[below], p[alone], p[lead]]),
+            np.concatenate([lo[y] + left, lo[alone], lo[lead]]),
+            np.concatenate([n[y], n[alone], total[set_]]),
+            np.concatenate([d[y], d[alone], np.zeros(len(lead), bool)]),
+        )
+        _, which, count = np.unique(now[1], return_inverse=True, return_counts=True)
+        now = tuple(c[count[which] > 1] for c in now)
+    if now is None or not len(now[0]):
+        return (np.zeros(0, np.int64),) * 4
+    i, p, lo, n, d = now
+    order = np.lexsort((place[i], p))  # all that is left of a part shares as much
+    i, p, lo, n, d = (c[order] for c in (i, p, lo, n, d))
+    begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    many = np.diff(np.append(begin, len(p)))
+    keep = np.repeat(many > 1, many)
+    keep[begin] = d[begin] & (many > 1)
+    return i[keep], lo[keep], np.repeat(np.add.reduceat(n, begin), many)[keep], np.repeat(i[begin], many)[keep]
+
+
+#: Base of the hashes of words that follow branching places. Suffixes at which subtrees are halved instead of sorted.
+_BASE, _SORT = 0x9FB21C651E98DF25, 1000
+_ITEM = "part long, lo int, width int, id long, tag int, run int, pos int, k int, m int, n long, deep boolean"
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Each row's number in the order of some columns."""
+    out = np.empty(len(columns[0]), np.int64)
+    out[np.lexsort(columns[::-1])] = np.arange(len(out))
+    return out
+
+
+def _table(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _items(width: int):
+    """The suffixes of large classes from rows of _RUN; a part is a class. k: a suffix's first branching place among the stretch's, run; m: how many it has from there on."""
+
+    def run(batches):
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
+            for r in range(b.num_rows):
+                start, h, branch = (b.column(c)[r].values.to_numpy() for c in ("start", "h", "branch"))
+                k = np.searchsorted(branch, start)
+                some = k < len(branch)
+                k, every = k[some], np.ones(int(some.sum()), np.int64)
+                for c, x in zip(out, (h[some], every * b.column("id")[r].as_py(), every * b.column("tag")[r].as_py(), every * int(branch[0]), start[some], k, len(branch) - k)):
+                    c.append(x)
+            part, i, tag, first, pos, k, m = map(np.concatenate, out)
+            one = np.ones(len(i), np.int64)
+            yield _table(_ITEM, part, one * 0, one * width, i, tag, first, pos, k, m, one, one > 0)
+
+    return run
+
+
+def _beside(items: DataFrame, stretches: DataFrame, *order: str) -> DataFrame:
+    """Both, each stretch followed by its suffixes."""
+    both = items.withColumns({"branch": F.lit(None).cast("array<int>"), "after": F.lit(None).cast("array<long>")}).unionByName(stretches, allowMissingColumns=True)
+    return both.repartition("id", "tag").sortWithinPartitions("id", "tag", "run", F.col("after").isNull(), *order)
+
+
+def _walk(batches):
+    """(branch, after, suffixes' rows) of _beside()'s rows, stretch by stretch; those of one that is in several batches come in several pieces."""
+    branch = after = None
+    for b in batches:
+        at = np.flatnonzero(b.column("after").is_valid().to_numpy(zero_copy_only=False)).tolist()
+        if (at[0] if at else b.num_rows) > 0:
+            yield branch, after, b.slice(0, at[0] if at else b.num_rows)
+        for x, y in pairwise([*at, b.num_rows]):
+            branch, after = b.column("branch")[x].values.to_numpy(), b.column("after")[x].values.to_numpy().view(np.uint64)
+            if y > x + 1:
+                yield branch, after, b.slice(x + 1, y - x - 1)
+
+
+def _hashed(half: int, least: int):
+    """Suffixes with v, a hash of the `half` words that follow the branching places after what their part shares, null if they have fewer, and with stop, the end of what the part shares."""
+
+    def run(batches):
+        had = None
+        for branch, after, t in _walk(batches):
+            if had is not after:
+                had, (up, down) = after, powers(_BASE, len(after) + 1)
+                sums = np.append(U(0), np.cumsum(after * up[: len(after)], dtype=np.uint64))
+            k, m, lo = (t.column(c).to_numpy().astype(np.int64) for c in ("k", "m", "lo"))
+            has = m >= lo + half
+            a = np.where(has, k + lo, 0)
+            v = mix((sums[np.where(has, a + half, 0)] - sums[a]) * down[a] + U(half))
+            stop = branch[k + np.minimum(lo, m - 1)] + least
+            own = [t.column(f.split()[0]) for f in _ITEM.split(", ")]
+            yield _table(f"{_ITEM}, v long, stop int", *own, pa.array(signed(v), pa.int64(), mask=~has), stop)
+
+    return run
+
+
+_PIECE = "part long, lo int, width int, id long, tag int, pos array<int>, k array<int>, m array<int>, n array<long>, deep array<int>, branch array<int>, after array<long>"
+
+
+def _pieces_of(batches):
+    """The suffixes of one part and stretch in a row, with the branching places that they need; k counts from the first of those."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    out: list[list] = [[] for _ in names]
+
+    def batch() -> pa.RecordBatch:
+        flat = [pa.array(c, k) for c, k in zip(out[:5], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
+        arrays = [lists(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64 if k == pa.int64() else np.int32), np.array([len(v) for v in c], np.int64), k) for c, k in zip(out[5:], kinds)]
+        return pa.RecordBatch.from_arrays([*flat, *arrays], names)
+
+    held = 0
+    for branch, after, t in _walk(batches):
+        part, lo, width, pos, k, m, n, deep = (t.column(c).to_numpy(zero_copy_only=False) for c in ("part", "lo", "width", "pos", "k", "m", "n", "deep"))
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        i, tag = t.column("id")[0].as_py(), t.column("tag")[0].as_py()
+        for x, y in pairwise([*begin, len(part)]):
+            a = min(int(k[x:y].min()) + int(lo[x]), len(branch) - 1)
+            e = min(int(k[x:y].max()) + int(lo[x]) + int(width[x]), len(branch))
+            for c, value in zip(out, (int(part[x]), int(lo[x]), int(width[x]), i, tag, pos[x:y], k[x:y] - a, m[x:y], n[x:y], deep[x:y], branch[a:e], after[a:e].view(np.int64))):
+                c.append(value)
+            held += y - x + e - a
+            if held > 1 << 18:
+                yield batch()
+                out, held = [[] for _ in names], 0
+    yield batch()
+
+
+def _parts(least: int, group: int):
+    """What is found in parts that fit a task, from _PIECE rows in order of parts; small parts are taken together."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        size = np.array([len(x[5]) for x in rows])
+        each = lambda c, kind=np.int64: np.repeat(np.array([x[c] for x in rows], kind), size)
+        flat = lambda c, kind=np.int64: np.concatenate([x[c] for x in rows]).astype(kind)
+        branch, after = flat(10), flat(11).view(np.uint64)
+        base = np.repeat(np.cumsum([0, *(len(x[10]) for x in rows[:-1])]), size)
+        part, lo, width, i, tag, pos, m = each(0), each(1), each(2), each(3), each(4), flat(5), flat(7)
+        at = base + flat(6)
+        s, shared, copies, first = halves(after, at, m, _order(i, tag, pos), part, lo, width, flat(8), flat(9, bool))
+        return _table(_FOUND, i[s], tag[s], pos[s], branch[at[s] + np.minimum(shared, m[s] - 1)] + least, copies, i[first], pos[first])
+
+    def run(batches):
+        rows, now, held = [], None, 0
+        for b in batches:
+            c = [b.column(x) for x in range(b.num_columns)]
+            for r in range(b.num_rows):
+                part = c[0][r].as_py()
+                if part != now and held > min(group, 1 << 19):
+                    yield found(rows)
+                    rows, held = [], 0
+                now = part
+                rows.append((*[c[x][r].as_py() for x in range(5)], *[c[x][r].values.to_numpy() for x in range(5, 12)]))
+                held += len(rows[-1][5]) + len(rows[-1][10])
+        if rows:
+            yield found(rows)
+
+    return run
+
+
+def _extended(big: DataFrame, least: int, group: int) -> DataFrame:
+    """What is found in classes of more than `group` suffixes, from their rows of _RUN: their subtrees are halved by depth until each part fits a task. Parts meet only in aggregations
+    and in joins with one row a part or a set, so no task holds one."""
+    place = F.struct("id", "tag", "pos", "run", "k", "m")
+    stretches = big.select("id", "tag", F.col("branch")[0].alias("run"), "branch", "after")
+    width = 1 << (big.agg(F.max(F.size("branch"))).first()[0] or 0).bit_length()
+    names = [f.split()[0] for f in _ITEM.split(", ")]
+    now, fit = written(big.mapInArrow(_items(width), _ITEM), "big"), None
+    while width > 1 and not now.isEmpty():
+        width //= 2
+        x = written(_beside(now, stretches).mapInArrow(_hashed(width, least), f"{_ITEM}, v long, stop int").drop("stop").withColumn("width", F.lit(width)), "halved")
+        sets = written(x.where("v is not null").groupBy("part", "v").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.first("lo").alias("lo"), F.min(place).alias("first")).where("c > 1"), "sets")
+        below = F.col("c").isNotNull()
+        y = x.join(sets.select("part", "v", "c"), ["part", "v"], "left")
+        y = y.withColumns({"part": F.when(below, F.xxhash64("part", "v", F.lit(width))).otherwise(F.col("part")), "lo": F.when(below, F.col("lo") + width).otherwise(F.col("lo"))}).select(*names)
+        lead = sets.select("part", "lo", F.lit(width).alias("width"), "first.*", F.col("total").alias("n"), F.lit(False).alias("deep")).select(*names)
+        both = written(y.unionByName(lead), "halved")
+        for df in (now, x, sets):
+            discard(df)
+        both = both.join(both.groupBy("part").agg(F.count("*").alias("c")), "part")
+        small, now = both.where(f"c > 1 and c <= {group}").select(*names), written(both.where(f"c > {group}").select(*names), "big")
         fit = small if fit is None else fit.unionByName(small)
-    return fit, found
+    fit = now.limit(0) if fit is None else fit
+    found = _beside(fit, stretches, "part").mapInArrow(_pieces_of, _PIECE).repartition("part").sortWithinPartitions("part").mapInArrow(_parts(least, group), _FOUND)
+    if now.isEmpty():
+        return found
+    nodes = now.groupBy("part").agg(F.sum("n").cast("int").alias("copies"), F.min(F.struct("id", "tag", "pos")).alias("first"))  # all that is left of a part shares as much
+    own = F.struct("id", "tag", "pos") == F.col("first")
+    last = _beside(now, stretches).mapInArrow(_hashed(0, least), f"{_ITEM}, v long, stop int").join(nodes, "part").where(~own | F.col("deep"))
+    return found.unionByName(last.select("id", "tag", "pos", "stop", "copies", F.col("first.id").alias("keep_id"), F.col("first.pos").alias("keep_pos")))
 
 
-_UP = "struct<size: int, copies: int, id: bigint, pos: int>"
 _FOUND = "id long, tag int, pos int, stop int, copies int, keep_id long, keep_pos int"
 
 
 def _trees(least: int):
     def group(rows: list[tuple]) -> list[tuple]:
-        """rows: (id, tag, start, h, branch, after, up) of one group; up: (size, copies, id, pos) of the deepest repeat of an earlier occurrence above the group's prefix."""
+        """rows: (id, tag, start, h, branch, after) of one group."""
         by: dict[int, list[tuple[int, int]]] = {}
         raw = [(x[5] & 0xFFFFFFFF).astype(">u4").tobytes() for x in rows]
         for r, x in enumerate(rows):
             for j, h in enumerate(x[3].tolist()):
                 by.setdefault(h, []).append((r, j))
         out = []
+        base = np.cumsum([0, *(len(x[4]) for x in rows)])
+        words = [np.concatenate([x[c] for x in rows]) for c in (4, 5)] if max(map(len, by.values())) > _SORT else None
         for members in by.values():
+            if len(members) > _SORT:
+                r, j = np.array(members).T
+                i, tag, pos = (np.array([f(x, y) for x, y in members], np.int64) for f in (lambda x, _: rows[x][0], lambda x, _: rows[x][1], lambda x, y: rows[x][2][y]))
+                at = base[r] + np.array([np.searchsorted(rows[x][4], p) for x, p in zip(r.tolist(), pos.tolist())])
+                m, one = base[r + 1] - at, np.ones(len(r), np.int64)
+                s, shared, copies, first = halves(words[1].view(np.uint64), at, m, _order(i, tag, pos), one, one * 0, one << int(m.max()).bit_length(), one, one > 0)
+                stop = words[0][at[s] + np.minimum(shared, m[s] - 1)] + least
+                out += zip(*(c.tolist() for c in (i[s], tag[s], pos[s], stop, copies, i[first], pos[first])))
+                continue
             start, who, seq, branch = [], [], [], []
             for r, j in members:
-                i, tag, s, _, b, _, _ = rows[r]
+                i, tag, s, _, b, _ = rows[r]
                 k = int(np.searchsorted(b, s[j]))
                 start.append(int(s[j]))
                 who.append((i, tag))
@@ -297,9 +506,6 @@ def _trees(least: int):
                 branch.append(b[k:])
             for m, stop, copies, first in repeats(start, who, seq, branch, least):
                 out.append((*who[m], start[m], stop, copies, who[first][0], start[first]))
-            k = min(range(len(start)), key=lambda m: (*who[m], start[m]))
-            if up := rows[members[k][0]][6]:  # the others have deeper ones here
-                out.append((*who[k], start[k], start[k] + up["size"], up["copies"], up["id"], up["pos"]))
         return out
 
     def run(batches):
@@ -320,7 +526,7 @@ def _trees(least: int):
                     if len(held) > 1 << 15:
                         yield batch()
                         held = []
-                rows.append((c[1][r].as_py(), c[2][r].as_py(), *[c[i][r].values.to_numpy() for i in range(3, 7)], c[7][r].as_py()))
+                rows.append((c[1][r].as_py(), c[2][r].as_py(), *[c[i][r].values.to_numpy() for i in range(3, 7)]))
         held += group(rows) if rows else []
         yield batch()
 
@@ -344,15 +550,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int |
     some = not big.isEmpty()
     placed = (placed.join(big, "h", "left") if some else placed.withColumn("big", F.lit(False))).withColumn("big", F.coalesce("big", F.lit(False))).drop("split")
     runs = placed.repartition("id", "tag").sortWithinPartitions("id", "tag", "pos").mapInArrow(_runs, _RUN)
-    up = F.lit(None).cast(_UP).alias("up")
     more = None
     if some:
         runs = written(runs, "runs")
-        fit, more = _extended(runs.where("big").drop("big"), least, group)
-        runs = runs.where("not big").withColumn("up", up).drop("big").unionByName(fit)
-    else:
-        runs = runs.withColumn("up", up).drop("big")
-    found = runs.repartition("part").sortWithinPartitions("part").mapInArrow(_trees(least), _FOUND)
+        more = _extended(runs.where("big").drop("big"), least, group)
+        runs = runs.where("not big")
+    found = runs.drop("big").repartition("part").sortWithinPartitions("part").mapInArrow(_trees(least), _FOUND)
     found = found if more is None else found.unionByName(more)
     own = (F.col("keep_id") == F.col("id")) & (F.col("keep_pos") == F.col("pos"))
     upto = F.max("stop").over(W.partitionBy("id", "tag", "own").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
