@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,26 @@ def universal(item: Column, prime: int = PRIME) -> Column:
     return F.pmod(high * 65536 + F.col("a") * x.bitwiseAND(F.lit(65535)) + F.col("b"), p)
 
 
+def universals(n: int, prime: int = PRIME) -> Callable[[np.ndarray], np.ndarray]:
+    """universal() for n functions at once: of whole numbers from 0 to prime - 1 the hashes, unsigned, as (items, n)."""
+    _, a, b = (np.array(x, np.uint64) for x in zip(*family(n, prime), strict=True))
+    p, most = np.uint64(prime), (2**64 - prime) // prime
+
+    def run(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.uint64)[:, None]
+        if x.size and x.max() > most:  # a * x would overflow
+            h = a * (x >> np.uint64(16))
+            h -= h // p * p
+            h = h * np.uint64(65536) + a * (x & np.uint64(65535))
+        else:
+            h = x * a
+        h += b
+        h -= h // p * p  # faster than %
+        return h
+
+    return run
+
+
 def small(item: Column) -> Column:
     """Any item as a number that universal() takes: whole numbers in range stay, all else is hashed to 31 bits."""
     return F.pmod(F.xxhash64(item), F.lit(LARGEST))
@@ -41,27 +62,43 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return x << np.uint32(r) | x >> np.uint32(32 - r)
 
 
-def murmur3(items: list[bytes], seed: int = 0) -> np.ndarray:
-    """MurmurHash3 x86 32 bit, signed; items of equal length are hashed together."""
-    out = np.zeros(len(items), np.int32)
+def murmur3_seeds(m: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """(items, seeds): MurmurHash3 x86 32 bit, unsigned, of items of equal length, the rows of m, a matrix of bytes."""
+    n = m.shape[1]
+    c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+    h = np.repeat(seeds.astype(np.uint32)[None], len(m), axis=0)
+    for k in np.ascontiguousarray(m[:, : n // 4 * 4]).view("<u4").T.astype(np.uint32):
+        h ^= (_rotl(k * c1, 15) * c2)[:, None]
+        h = _rotl(h, 13)
+        h *= np.uint32(5)
+        h += np.uint32(0xE6546B64)
+    if n % 4:
+        k = np.zeros(len(m), np.uint32)
+        for j in range(n % 4):
+            k |= m[:, n // 4 * 4 + j].astype(np.uint32) << np.uint32(8 * j)
+        h ^= (_rotl(k * c1, 15) * c2)[:, None]
+    h ^= np.uint32(n & 0xFFFFFFFF)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def by_length(items: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix of bytes) of the items of each length, places ascending."""
     by: dict[int, list[int]] = {}
     for i, x in enumerate(items):
         by.setdefault(len(x), []).append(i)
-    c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
-    for n, at in by.items():
-        m = np.frombuffer(b"".join(items[i] for i in at), np.uint8).reshape(len(at), n)
-        h = np.full(len(at), seed & 0xFFFFFFFF, np.uint32)
-        for k in np.ascontiguousarray(m[:, : n // 4 * 4]).view("<u4").T.astype(np.uint32):
-            h = _rotl(h ^ _rotl(k * c1, 15) * c2, 13) * np.uint32(5) + np.uint32(0xE6546B64)
-        if n % 4:
-            k = np.zeros(len(at), np.uint32)
-            for j in range(n % 4):
-                k |= m[:, n // 4 * 4 + j].astype(np.uint32) << np.uint32(8 * j)
-            h ^= _rotl(k * c1, 15) * c2
-        h ^= np.uint32(n)
-        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-        out[at] = (h ^ h >> np.uint32(16)).view(np.int32)
+    return [(np.array(at), np.frombuffer(b"".join(items[i] for i in at), np.uint8).reshape(len(at), n)) for n, at in by.items()]
+
+
+def murmur3(items: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3 x86 32 bit, signed; items of equal length are hashed together."""
+    out = np.zeros(len(items), np.int32)
+    for at, m in by_length(items):
+        out[at] = murmur3_seeds(m, np.array([seed & 0xFFFFFFFF]))[:, 0].view(np.int32)
     return out
 
 
@@ -83,8 +120,9 @@ def murmurs(item: Column, n: int) -> Column:
     def run(x: pa.Array) -> pa.Array:
         items = [(v or "").encode() for v in x.to_pylist()]
         h = np.empty((len(items), n), np.int64)
-        for seed in range(n):
-            h[:, seed] = murmur3(items, seed)
+        for at, m in by_length(items):
+            for k in range(0, len(at), 128):  # small enough for the processor's cache
+                h[at[k : k + 128]] = murmur3_seeds(m[k : k + 128], np.arange(n)).view(np.int32)
         offsets = pa.array(np.arange(len(items) + 1) * n, pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(np.abs(h).ravel()), mask=x.is_null())
 

@@ -1,16 +1,20 @@
 """Bloom filters and Flajolet-Martin sketches as relations: bits and registers are rows, so they build, merge and probe
-by aggregation and joins, and nothing has to fit one task. Items are hashed by the universal family, which takes whole numbers, or, with mmh3,
+by aggregation and joins, and nothing has to fit one task. Flajolet-Martin registers are made and merged as one array a set. Items are hashed by the universal family, which takes whole numbers, or, with mmh3,
 by MurmurHash3 of their text with seeds from 0 on, which takes any items and gives the reference's very bits and registers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import absolute_error, trailing_zeros
-from ..functions.hashing import family_table, murmurs, universal
+from ..functions.columns import absolute_error
+from ..functions.hashing import PRIME, by_length, family_table, murmur3_seeds, murmurs, universal, universals
 
 SIZES, HASHES = (100_000, 500_000, 1_000_000, 5_000_000), (3, 5, 7, 10)
 FM_HASHES = (16, 32, 64, 128, 256)
@@ -85,9 +89,108 @@ def bloom_stream(df: DataFrame, item: str, order: str, m: int, k: int, mmh3: boo
 # --- Flajolet-Martin --------------------------------------------------------------------------------------------
 
 
+def _tops(items: pa.Array, sets: np.ndarray, count: int, n: int, mmh3: bool) -> np.ndarray:
+    """(count, n): for each set and function the most trailing zeros among the hashes of its items. sets: of each item its set's number, ascending."""
+    if mmh3:
+        seeds = np.arange(n)
+        parts = [(at, m, lambda x: murmur3_seeds(x, seeds)) for at, m in by_length([x.encode() for x in items.to_pylist()])]
+    else:
+        parts = [(np.arange(len(items)), items.to_numpy(zero_copy_only=False), universals(n))]
+    low = np.full((count, n), -1, np.int32 if mmh3 else np.int64).view(np.uint32 if mmh3 else np.uint64)
+    for at, values, hashes in parts:
+        for k in range(0, len(at), 128):  # small enough for the processor's cache
+            z, of = hashes(values[k : k + 128]), sets[at[k : k + 128]]
+            z |= -z  # ones down to the lowest one; the trailing zeros stay
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for x, y in zip(edges, edges[1:]):
+                low[of[x]] &= np.bitwise_and.reduce(z[x:y], axis=0)
+    return np.minimum(low.itemsize * 8 - np.bitwise_count(low), 32)
+
+
+def _combined(t: pa.Table, keys: Sequence[str], n: int, mmh3: bool, least: int, last: bool) -> pa.Table:
+    """Rows (keys..., item, registers) of which those of equal keys follow each other, with one row of registers for those that have registers or `least` items.
+    Other rows stay; in the last pass these are of sets without items, and one of each does."""
+    t = t.combine_chunks()
+    new = np.zeros(len(t), bool)
+    new[0] = True
+    for k in keys:
+        codes = t[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    of, count = np.cumsum(new) - 1, int(new.sum())
+    there, made = (t[k].combine_chunks().is_valid().to_numpy(zero_copy_only=False) for k in ("item", "registers"))
+    done = np.bincount(of[there], minlength=count) >= least
+    done[of[made]] = True
+    at, now = np.cumsum(done) - 1, there & done[of]
+    r = _tops(t["item"].filter(pa.array(now)).combine_chunks(), at[of[now]], int(done.sum()), n, mmh3)
+    for k, x in zip(at[of[made]].tolist(), t["registers"].drop_null().to_pylist()):
+        np.maximum(r[k], np.frombuffer(x, np.uint8), out=r[k])
+    kept = new if last else new | ~done[of]
+    wide, mask = done[of[kept]], pa.array(done[of[kept]])
+    ends = pa.array(np.append(0, np.cumsum(wide * n)), pa.int32())
+    registers = pa.Array.from_buffers(pa.binary(), len(wide), [pa.array(wide).buffers()[1], ends.buffers()[1], pa.py_buffer(r.tobytes())])
+    t = t.filter(pa.array(kept))
+    item = pc.if_else(mask, pa.scalar(None, t.schema.field("item").type), t["item"])
+    return t.select(keys).append_column("item", item).append_column("registers", registers)
+
+
+def _means(registers: np.ndarray, hashes: Sequence[int]) -> np.ndarray:
+    """(sets, hashes): what the estimates are made of, see fm_estimates."""
+    full = registers.shape[1] // 8 * 8
+    s = np.sort(registers[:, :full].reshape(len(registers), -1, 8), axis=2)
+    medians = (s[:, :, 3] + s[:, :, 4]) / 2
+    return np.stack([registers[:, :k].mean(axis=1) if k <= 8 else medians[:, : k // 8].mean(axis=1) for k in hashes], axis=1)
+
+
+def _sketching(keys: Sequence[str], n: int, mmh3: bool, last: bool, hashes: Sequence[int] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Combines the rows of a partition that is sorted by keys, of each batch by itself, or, in the last pass, of all, which are complete then: registers
+    are returned, or, for numbers of functions, means."""
+
+    def finished(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = t["registers"].combine_chunks()
+        values = np.frombuffer(b"".join(x.drop_null().to_pylist()), np.uint8).reshape(-1, n)
+        values = values.view(np.int8) if hashes is None else _means(values, hashes)
+        ends = np.append(0, np.cumsum(x.is_valid().to_numpy(zero_copy_only=False) * values.shape[1]))
+        x = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel()), mask=x.is_null())
+        return iter(t.select(keys).append_column("values", x).combine_chunks().to_batches())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the set that may go on in the next batch
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                x = _combined(t if held is None else pa.concat_tables([held.cast(t.schema), t]), keys, n, mmh3, 1 if last else max(1, n // 8), last)
+                if last:
+                    held, x = x.slice(len(x) - 1), x.slice(0, len(x) - 1)
+                    yield from finished(x) if len(x) else ()
+                else:
+                    yield from x.combine_chunks().to_batches()
+        if held is not None:
+            yield from finished(held)
+
+    return run
+
+
+def _sketched(long: DataFrame, keys: Sequence[str], n: int, mmh3: bool, hashes: Sequence[int] | None = None) -> DataFrame:
+    """(keys..., values): the n registers of each set as an array, or, for numbers of functions, the means that make the estimates. Items are hashed n-fold
+    in Arrow batches where they are; a set's registers, or its items if they are few, go to one task. So no more leaves a task than came, and large sets
+    are spread over tasks."""
+    x = long.where("item is not null") if mmh3 else long
+    item = F.col("item").cast("string") if mmh3 else F.pmod("item", F.lit(PRIME)).bitwiseAND(F.lit(-1))
+    names = [f"_{i}" for i in range(len(keys))]
+    x = x.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], item.alias("item"), F.lit(None).cast("binary").alias("registers"))
+    own = [T.StructField(a, x.schema[a].dataType) for a in names]
+    partial = T.StructType([*own, T.StructField("item", x.schema["item"].dataType), T.StructField("registers", T.BinaryType())])
+    final = T.StructType([*own, T.StructField("values", T.ArrayType(T.ByteType() if hashes is None else T.DoubleType()))])
+    ordered = lambda y: y.sortWithinPartitions(*names) if names else y
+    x = ordered(x).mapInArrow(_sketching(names, n, mmh3, False), partial)
+    x = ordered(x.repartition(*names) if names else x.repartition(1)).mapInArrow(_sketching(names, n, mmh3, True, hashes), final)
+    return x.toDF(*keys, "values")
+
+
 def fm_registers(long: DataFrame, keys: Sequence[str], n: int = 256, mmh3: bool = False) -> DataFrame:
     """(keys..., i, r): for each of n functions the most trailing zeros among an item set's hashes."""
-    return _hashed(long.select(*keys, "item"), n, mmh3).groupBy(*keys, "i").agg(F.max(trailing_zeros(F.col("hash"))).alias("r"))
+    r = F.coalesce("values", F.array_repeat(F.lit(None).cast("tinyint"), n))  # a set of nulls has them without values
+    return _sketched(long, keys, n, mmh3).select(*keys, F.posexplode(r).alias("i", "r")).withColumn("r", F.col("r").cast("int"))
 
 
 def fm_merged(registers: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,6 +198,10 @@ def fm_merged(registers: DataFrame, keys: Sequence[str]) -> DataFrame:
     return registers.groupBy(*keys, "i").agg(F.max("r").alias("r"))
 
 
+def _estimate(mean: Column) -> Column:
+    return F.floor(F.pow(F.lit(2.0), mean) / PHI).cast("long")
+
+
 def fm_estimates(registers: DataFrame, keys: Sequence[str], hashes: Sequence[int] = FM_HASHES) -> DataFrame:
     """(keys..., hashes, estimate). The first functions of each number count: up to 8 by the mean of their registers; more by the mean of the
     medians of groups of 8, those that fill no group being ignored. The estimator is biased."""
@@ -102,14 +209,20 @@ def fm_estimates(registers: DataFrame, keys: Sequence[str], hashes: Sequence[int
     x = registers.crossJoin(ks).where((F.col("i") < F.col("hashes")) & ((F.col("hashes") <= 8) | (F.col("i") < F.floor(F.col("hashes") / 8) * 8)))
     g = F.when(F.col("hashes") <= 8, F.col("i")).otherwise(F.floor(F.col("i") / 8))
     medians = x.groupBy(*keys, "hashes", g.alias("g")).agg(F.median("r").alias("m"))
-    return medians.groupBy(*keys, "hashes").agg(F.floor(F.pow(F.lit(2.0), F.avg("m")) / PHI).cast("long").alias("estimate"))
+    return medians.groupBy(*keys, "hashes").agg(_estimate(F.avg("m")).alias("estimate"))
 
 
 def fm_evaluation(long: DataFrame, keys: Sequence[str], hashes: Sequence[int] = FM_HASHES, mmh3: bool = False) -> DataFrame:
-    """Each set's estimate beside the exact count, for each number of functions; registers are made once."""
+    """Each set's estimate beside the exact count, for each number of functions, as fm_estimates gives it; registers are made once and leave their
+    task as means. Sets with a null key have no row."""
+    for k in keys:
+        long = long.where(F.col(k).isNotNull())  # the join infers it for one side only, and the sides would share no exchange
     n = long.groupBy(*keys).agg(F.count_distinct("item").alias("exact"))
-    e = fm_estimates(fm_registers(long, keys, max(hashes), mmh3), keys, hashes)
-    return e.join(n, list(keys)).withColumn("error_pct", absolute_error(F.col("estimate"), F.col("exact")))
+    ks = sorted({int(k) for k in hashes if k > 0})
+    e = _sketched(long, keys, max(ks), mmh3, ks).join(n, list(keys))
+    means = F.coalesce("values", F.array_repeat(F.lit(None).cast("double"), len(ks)))
+    e = e.select(*keys, "exact", F.posexplode(means).alias("at", "mean")).withColumn("hashes", F.array(*map(F.lit, ks))[F.col("at")])
+    return e.select(*keys, "hashes", _estimate(F.col("mean")).alias("estimate"), "exact").withColumn("error_pct", absolute_error(F.col("estimate"), F.col("exact")))
 
 
 def fm_summary(evaluation: DataFrame) -> DataFrame:
